@@ -16,6 +16,8 @@ PIECE = 2 << 20
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 IS_SEPARATOR = np.isin(np.arange(256), SEPARATORS)
+#: The same with all ASCII bytes that are neither letters nor digits.
+IS_PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -66,11 +68,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Words:
     """The words of some texts: ``start``/``end`` in ``buf``, ``doc`` (index of the text), ``first`` (word range by text)."""
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
+    def __init__(self, texts: list[bytes], lower: bool = False, separator: np.ndarray = IS_SEPARATOR):
         self.buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
         if lower:
             self.buf = LOWER[self.buf]
-        sep = IS_SEPARATOR[self.buf]
+        sep = separator[self.buf]
         edges = np.flatnonzero(sep[1:] != sep[:-1]) + 1
         if not sep[0]:
             edges = np.concatenate(([0], edges))
