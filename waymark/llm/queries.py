@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import fingerprint, quality, simhash
+from waymark.llm import fingerprint, quality, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text, and their likeness."""
     return fingerprint.compare_with_next(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
@@ -33,6 +38,7 @@ def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_kneser_ney_toxicity": op2_kneser_ney_toxicity,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_compression_quality": op9_compression_quality,
