@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import fingerprint, quality, simhash, toxicity
+from waymark.llm import fingerprint, mixing, quality, sentencepieces, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_next(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source and place in the mixture (slot and place order it) of every document."""
+    return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source")).select("doc_id", "source", "mix.*")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id of every document."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -37,11 +42,25 @@ def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids of every document, and whether decoding the ids gives its text back."""
+    return sentencepieces.round_trip(_table(spark, sf_dir, "documents"), sentencepieces.model_bytes(model or default_model()))
+
+
+def default_model() -> str:
+    """Path of the public 32k piece vocabulary."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_kneser_ney_toxicity": op2_kneser_ney_toxicity,
     "op3_document_fingerprints": op3_document_fingerprints,
+    "op4_pfair_mixing": op4_pfair_mixing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_compression_quality": op9_compression_quality,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {}
