@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import fingerprint, mixing, quality, sentencepieces, simhash, toxicity
+from waymark.llm import chat, fingerprint, mixing, quality, sentencepieces, simhash, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,18 @@ def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source")).select("doc_id", "source", "mix.*")
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict and the margin of the trees of every page."""
+    return urls.judge(_table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation and of conversation -7, read back from their formatted text."""
+    extra = "values (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') as t(conv_id, turn, role, text)"
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digest(rows.unionByName(spark.sql(f"select * from {extra}")))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id of every document."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -58,9 +70,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_kneser_ney_toxicity": op2_kneser_ney_toxicity,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_pfair_mixing": op4_pfair_mixing,
+    "op5_url_filter": op5_url_filter,
+    "op7_chat_format": op7_chat_format,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_compression_quality": op9_compression_quality,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_chat_format": chat.oracle(),
+}
