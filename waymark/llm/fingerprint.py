@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.textbytes import pieces, text_bytes
+from waymark.llm.textbytes import pieces, text_pieces
 
 BUCKETS = 256
 SPREAD = (3, 7)
@@ -85,7 +85,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hex_digests(digests(text_bytes(batch.column(1)))))], names=["id", "fingerprint"])
+            found = [x for _, _, t in text_pieces(batch.column(1)) for x in hex_digests(digests(t))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["id", "fingerprint"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, fingerprint string")
@@ -155,10 +156,9 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: tuple | None = None  # the last row so far, whose next is still to come
         for batch in batches:
-            every_text = text_bytes(batch.column("text"))
             every_id, every_tail = batch.column("id").to_pylist(), batch.column("tail").to_pylist()
-            for a, b in pieces(every_text):
-                texts, ids, tails = every_text[a:b], every_id[a:b], every_tail[a:b]
+            for a, b, texts in text_pieces(batch.column("text")):
+                ids, tails = every_id[a:b], every_tail[a:b]
                 if kept:
                     texts, ids, tails = [kept[0], *texts], [kept[1], *ids], [kept[2], *tails]
                 kept = (texts[-1], ids[-1], tails[-1])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.textbytes import Words, pieces, text_bytes, xxh64
+from waymark.llm.textbytes import Words, pieces, text_pieces, xxh64
 from waymark.operators.components import connected_components
 from waymark.session import cut_lineage
 
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = fingerprint_texts(text_bytes(batch.column(1))).view(np.int64)
+            fp = np.concatenate([np.zeros(0, np.uint64), *(fingerprint_texts(t) for _, _, t in text_pieces(batch.column(1)))]).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 PIECE = 2 << 20
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -42,6 +43,17 @@ def pieces(texts: list[bytes], limit: int = PIECE) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
+def text_pieces(column: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Ranges of rows with about ``limit`` bytes of text each, and their texts; only one range is copied at a time."""
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    ends, first = np.cumsum(size), 0
+    while first < len(size):
+        done = ends[first - 1] if first else 0
+        last = min(len(size), int(np.searchsorted(ends, done + limit)) + 1)
+        yield first, last, text_bytes(column.slice(first, last - first))
+        first = last
+
+
 @lru_cache(maxsize=1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
@@ -54,7 +66,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse modulo 2**64, at least ``n`` of each."""
-    size = 1 << max(16, int(n).bit_length())
+    size = 1 << max(16, int(n - 1).bit_length())
     return _powers(size)
 
 
