@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import chat, fingerprint, mixing, quality, sentencepieces, simhash, toxicity, urls
+from waymark.llm import chat, fingerprint, mixing, quality, sentencepieces, simhash, substrings, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every document."""
+    return substrings.digest(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every conversation and of conversation -7, read back from their formatted text."""
     extra = "values (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') as t(conv_id, turn, role, text)"
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_pfair_mixing": op4_pfair_mixing,
     "op5_url_filter": op5_url_filter,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_chat_format": op7_chat_format,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_compression_quality": op9_compression_quality,
