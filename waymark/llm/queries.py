@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import chat, fingerprint, mixing, quality, sentencepieces, simhash, substrings, toxicity, urls
+from waymark.llm import ann, chat, fingerprint, mixing, quality, sentencepieces, simhash, substrings, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors found for every vector whose id is divisible by 100."""
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 def op2_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -72,6 +77,7 @@ def default_model() -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_learned_partitions": op1_learned_partitions,
     "op2_kneser_ney_toxicity": op2_kneser_ney_toxicity,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_pfair_mixing": op4_pfair_mixing,
