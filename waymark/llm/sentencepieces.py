@@ -24,17 +24,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructType
 
-from waymark.llm.textbytes import mix, pieces, powers, text_bytes
+from waymark.llm.textbytes import mix, powers, text_pieces
 
 MARK = "▁"
 #: Bytes of text that are handled at once.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 #: Segments longer than this are walked one by one.
 LONG = 64
 #: Segments whose pieces a task remembers.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
@@ -385,9 +385,8 @@ class Remembering:
         if len(new):
             ids, count = self.e.segments(points, sums, start[at[new]], end[at[new]])
             first = len(self.ids) + np.concatenate(([0], np.cumsum(count)[:-1]))
-            keys = np.concatenate((self.keys, distinct[new]))
-            by = np.argsort(keys, kind="stable")
-            self.keys, self.first, self.count = keys[by], np.concatenate((self.first, first))[by], np.concatenate((self.count, count))[by]
+            to = np.searchsorted(self.keys, distinct[new])
+            self.keys, self.first, self.count = (np.insert(x, to, y) for x, y in ((self.keys, distinct[new]), (self.first, first), (self.count, count)))
             self.ids = np.concatenate((self.ids, ids))
             place = np.searchsorted(self.keys, distinct)
         count, first = self.count[place][of], self.first[place][of]
@@ -449,12 +448,10 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", into: str = "i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Remembering(_encoder(shared.value))
         for batch in batches:
-            texts = text_bytes(batch.column(at))
-            for a, b in pieces(texts, PIECE_BYTES):
-                ids, counts = own.encode(texts[a:b])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(ids))
+            for a, b, texts in text_pieces(batch.column(at), PIECE_BYTES):
+                ids, counts = own.encode(texts)
                 rows = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*rows.columns, lists], names=[*rows.schema.names, into])
+                yield pa.RecordBatch.from_arrays([*rows.columns, _lists(ids, counts)], names=[*rows.schema.names, into])
 
     return kept.mapInArrow(run, _with(docs.schema, into, ArrayType(IntegerType(), False)))
 
@@ -482,7 +479,27 @@ def model_bytes(path: str) -> bytes:
         return file.read()
 
 
-def round_trip(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_tokens, ids, same)`` of every document: its ids, and whether decoding them gives the text back."""
-    found = decode(encode(docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")), model), model)
-    return found.select(F.col(id_col), F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.col("text")).alias("same"))
+def round_trip(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, n_tokens, ids, same)`` of every document: its ids, and whether decoding them gives the text back.
+
+    ``keep``: columns to carry along, behind the id.
+    """
+    rows = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col), *keep)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, back = Remembering(_encoder(shared.value)), _decoder(shared.value)
+        for batch in batches:
+            for a, b, texts in text_pieces(batch.column(0), PIECE_BYTES):
+                ids, counts = own.encode(texts)
+                same = [x.encode("utf-8") == y for x, y in zip(back.decode(ids, counts), texts)]
+                columns = [*(c.slice(a, b - a) for c in batch.columns[1:]), pa.array(counts, pa.int64()), _lists(ids, counts), pa.array(same)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = [id_col, *keep, "n_tokens", "ids", "same"]
+    schema = StructType([docs.schema[c] for c in (id_col, *keep)]).add("n_tokens", LongType()).add("ids", ArrayType(IntegerType(), False)).add("same", BooleanType())
+    return rows.mapInArrow(run, schema)
+
+
+def _lists(ids: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(ids))
