@@ -7,8 +7,8 @@ content, and only text that can match is brought to them:
 1. Each window has an anchor, its gram of least hash (winnowing): equal windows have equal anchors. Anchors that stand
    in two documents or more are kept in a bit map of fixed size.
 2. So are the hashes of windows with such an anchor that start in two documents or more.
-3. Runs of windows that pass both maps and share an anchor are passages. Equal passages are merged (with their least
-   id) before they are dealt to shards by their anchor, so a group of copies of any size is one passage.
+3. Runs of windows that pass both maps and share an anchor are passages. Of equal passages only that of the least id
+   is dealt to a shard, chosen by its anchor (a third map says which), so a group of copies of any size is one passage.
 4. A shard takes its passages by ascending id. Each is streamed past the suffix automaton of those with smaller ids;
    a matching length of a window or more marks that window; then the passage joins the automaton. Words themselves are
    compared here, not hashes.
@@ -27,11 +27,11 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.textbytes import Words, sliding, text_pieces, window_hashes
+from waymark.llm.textbytes import Words, mix, sliding, text_pieces, window_hashes
+from waymark.session import cut_lineage
 
 WINDOW = 50
 GRAM = 12
@@ -78,13 +78,12 @@ def _in_map(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _map_of_repeated(keys: DataFrame) -> np.ndarray:
-    """Bit map of the hashes ``h`` that stand with two ids or more. ``keys``: (h, id)."""
-    repeated = keys.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+def _map_of(hashes: DataFrame) -> np.ndarray:
+    """Bit map of the hashes in column ``h``."""
     place = F.shiftrightunsigned("h", 64 - MAP_BITS)
     # at most 2 ** (MAP_BITS - 6) rows
     found = (
-        repeated.select(place.alias("p"))
+        hashes.select(place.alias("p"))
         .select(F.shiftrightunsigned("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63L as int))").alias("m"))
         .groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
     )
@@ -93,6 +92,11 @@ def _map_of_repeated(keys: DataFrame) -> np.ndarray:
     return words.view(np.uint8)
 
 
+def _repeated(hashes: DataFrame) -> DataFrame:
+    """Hashes that stand in two rows or more; each row gives a hash once."""
+    return hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+
+
 def _over_windows(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
     """``run(words, windows, ids, marks)`` over the pieces of ``rows`` (id, mark, text), giving the columns of ``schema``."""
     names = [x.split()[0] for x in schema.split(",")]
@@ -231,21 +235,40 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     context = docs.sparkSession.sparkContext
 
     def of_anchors(words: Words, w: Windows, ids: np.ndarray, marks: np.ndarray) -> list:
-        at = _distinct(w.anchor, w.doc)
-        return [w.anchor[at].view(np.int64), ids[w.doc[at]]]
+        return [w.anchor[_distinct(w.anchor, w.doc)].view(np.int64)]
 
-    anchors = context.broadcast(_map_of_repeated(_over_windows(rows, of_anchors, "h long, id long")))
+    anchors = context.broadcast(_map_of(_repeated(_over_windows(rows, of_anchors, "h long"))))
 
     def of_windows(words: Words, w: Windows, ids: np.ndarray, marks: np.ndarray) -> list:
         ok = np.flatnonzero(_in_map(anchors.value, w.anchor))
-        at = ok[_distinct(w.hash[ok], w.doc[ok])]
-        return [w.hash[at].view(np.int64), ids[w.doc[at]]]
-
-    repeated = context.broadcast(_map_of_repeated(_over_windows(rows, of_windows, "h long, id long")))
-    places = _over_windows(rows, _found(anchors, repeated, False), "anchor long, content long, id long, mark long, first int, windows int")
-    texts = _over_windows(rows, _found(anchors, repeated, True), "anchor long, content long, id long, words int, passage string")
-    distinct = texts.groupBy("anchor", "content").agg(F.min("id").alias("low"), F.max("words").alias("words"), F.any_value("passage").alias("passage"))
-    marked = _marked(distinct)
+        return [w.hash[ok[_distinct(w.hash[ok], w.doc[ok])]].view(np.int64)]
+
+    windows = context.broadcast(_map_of(_repeated(_over_windows(rows, of_windows, "h long"))))
+
+    def of_places(words: Words, w: Windows, ids: np.ndarray, marks: np.ndarray) -> list:
+        first, last = _passages(words, w, anchors.value, windows.value)
+        doc, start = w.doc[first], w.start[first]
+        anchor, content = w.anchor[first], _content(w, first, last)
+        return [x.view(np.int64) for x in (anchor, content, _owned(anchor, content, ids[doc]))] + [
+            ids[doc], marks[doc], (start - words.first[doc]).astype(np.int32), (w.start[last] - start + 1).astype(np.int32)
+        ]
+
+    places = cut_lineage(_over_windows(rows, of_places, "anchor long, content long, own long, id long, mark long, first int, windows int"))
+    distinct = places.groupBy("anchor", "content").agg(F.min_by("own", "id").alias("h"), F.max("windows").alias("windows")).persist()
+    total = distinct.agg(F.sum(F.col("windows") + F.lit(WINDOW - 1))).first()[0] or 0
+    owners = context.broadcast(_map_of(distinct))
+    distinct.unpersist()
+
+    def of_texts(words: Words, w: Windows, ids: np.ndarray, marks: np.ndarray) -> list:
+        first, last = _passages(words, w, anchors.value, windows.value)
+        content = _content(w, first, last)
+        ok = _in_map(owners.value, _owned(w.anchor[first], content, ids[w.doc[first]]))
+        first, last, content = first[ok], last[ok], content[ok]
+        line = words.buf.tobytes()
+        passage = [b" ".join(split(line[a:b])) for a, b in zip(words.start[w.start[first]].tolist(), words.end[w.start[last] + WINDOW - 1].tolist())]
+        return [w.anchor[first].view(np.int64), content.view(np.int64), ids[w.doc[first]], pa.array(passage, pa.binary()).cast(pa.string())]
+
+    marked = _marked(_over_windows(rows, of_texts, "anchor long, content long, id long, passage string"), int(total))
     return (
         places.join(marked, ["anchor", "content"])
         .select(
@@ -258,44 +281,28 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
-def _found(anchors: Broadcast, repeated: Broadcast, texts: bool) -> Callable:
-    def run(words: Words, w: Windows, ids: np.ndarray, marks: np.ndarray) -> list:
-        first, last = _passages(words, w, anchors.value, repeated.value)
-        if not len(first):
-            return [first]
-        doc, start = w.doc[first], w.start[first]
-        n = w.start[last] - start + 1
-        content = _content(w, first, last)
-        out = [w.anchor[first].view(np.int64), content, ids[doc]]
-        if not texts:
-            return [*out, marks[doc], (start - words.first[doc]).astype(np.int32), n.astype(np.int32)]
-        line = words.buf.tobytes()
-        ends = start + n + WINDOW - 2
-        passage = [b" ".join(split(line[a:b])) for a, b in zip(words.start[start].tolist(), words.end[ends].tolist())]
-        return [*out, (n + WINDOW - 1).astype(np.int32), pa.array(passage, pa.binary()).cast(pa.string())]
-
-    return run
-
-
 def _content(w: Windows, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Hash of each run of windows."""
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(w.hash * (w.hash | np.uint64(1)))))
-    spread = np.uint64(0x9E3779B97F4A7C15)
-    return ((sums[last + 1] - sums[first]) ^ (w.hash[first] * spread) ^ (w.hash[last] + (last - first).astype(np.uint64) * spread)).view(np.int64)
+    return mix((sums[last + 1] - sums[first]) ^ mix(w.hash[first]) ^ mix(w.hash[last] + (last - first).astype(np.uint64)))
+
+
+def _owned(anchor: np.ndarray, content: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Hash of a passage in a document."""
+    return mix(anchor ^ mix(content ^ mix(ids.astype(np.int64).view(np.uint64))))
 
 
-def _marked(distinct: DataFrame) -> DataFrame:
+def _marked(texts: DataFrame, words: int) -> DataFrame:
     """``(anchor, content, low, runs)`` of distinct passages, by the automata of their shards."""
-    spark = distinct.sparkSession
-    distinct = distinct.persist()
-    total = distinct.agg(F.sum("words")).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // SHARD_WORDS))
+    shards = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-words // SHARD_WORDS))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        marks = mark_shard([(low, text.split(" ")) for low, text in zip(pdf["low"], pdf["passage"])])
-        return pd.DataFrame({"anchor": pdf["anchor"], "content": pdf["content"], "low": pdf["low"], "runs": marks})
+        # a passage of a larger id can come along by a chance bit
+        pdf = pdf.sort_values("id", kind="stable").drop_duplicates(["anchor", "content"])
+        marks = mark_shard([(low, text.split(" ")) for low, text in zip(pdf["id"], pdf["passage"])])
+        return pd.DataFrame({"anchor": pdf["anchor"], "content": pdf["content"], "low": pdf["id"], "runs": marks})
 
-    return distinct.withColumn("shard", F.pmod("anchor", F.lit(shards))).groupBy("shard").applyInPandas(run, "anchor long, content long, low long, runs array<int>")
+    return texts.withColumn("shard", F.pmod("anchor", F.lit(shards))).groupBy("shard").applyInPandas(run, "anchor long, content long, low long, runs array<int>")
 
 
 def cover(runs: list[int] | None, n: int) -> np.ndarray:
