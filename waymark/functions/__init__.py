@@ -1 +1 @@
-
+"""Column expressions and plain-Python kernels."""
