@@ -1,10 +1,598 @@
-"""Registered queries over the harness tables and their DuckDB SQL."""
+"""Registered queries over the harness tables and their DuckDB SQL.
+
+The tables hold no coordinates, so each row's point is derived from its key by integer arithmetic, in the same text for
+Spark and for DuckDB. Results are rounded as the public operations round them.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from waymark.errors import redact_column
+from waymark.functions.geo import (
+    distinct_points,
+    duration_min,
+    haversine_km,
+    line_distance_km,
+    normalize_lng,
+    round_deg,
+    round_half_up,
+    round_km,
+    round_min,
+    spherical_mean,
+)
+from waymark.functions.geojson import feature_collection, dump, kept_by_simplification, simplify_column, validate_column
+from waymark.operators import boundary, clustering, proximity, routing
+from waymark.operators.requests import answer_requests
+from waymark.sources.geocoding import gazetteer_lookup
+from waymark.streaming import geofence
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- text that both engines read -----------------------------------------------------------------------------------
+
+
+def lat_of(key: str) -> str:
+    return f"((({key})*7919) % 17001)/100.0e0 - 85.0e0"
+
+
+def lng_of(key: str) -> str:
+    return f"((({key})*104729) % 36001)/100.0e0 - 180.0e0"
+
+
+#: Forty towns some degrees apart, with a few hundred metres to a few kilometres between the points of each.
+def town_lat(key: str) -> str:
+    return f"(({key}) % 40)*3.5e0 - 68.0e0 + ((({key})*7919) % 211)/2000.0e0"
+
+
+def town_lng(key: str) -> str:
+    return f"((({key}) % 40)*47) % 360 - 180.0e0 + ((({key})*104729) % 223)/2000.0e0"
+
+
+def points(df: DataFrame, key: str, *columns: str, lat: Callable = lat_of, lng: Callable = lng_of) -> DataFrame:
+    return df.select(key, *columns, F.expr(lat(key)).alias("lat"), F.expr(lng(key)).alias("lng"))
+
+
+def sql_norm(x: str) -> str:
+    wrapped = f"((({x}) + 180.0e0) % 360.0e0 + 360.0e0) % 360.0e0 - 180.0e0"
+    return f"(case when ({x}) between -180.0e0 and 180.0e0 then ({x}) when {wrapped} = -180.0e0 and ({x}) > 0 then 180.0e0 else {wrapped} end)"
+
+
+def sql_km(alat: str, alng: str, blat: str, blng: str) -> str:
+    side = f"sin(radians({sql_norm(f'({blng}) - ({alng})')})/2)"
+    up = f"sin(radians(({blat}) - ({alat}))/2)"
+    return f"(12742.0e0*asin(least(1.0e0, sqrt({up}*{up} + cos(radians({alat}))*cos(radians({blat}))*{side}*{side}))))"
+
+
+def sql_round(x: str, digits: int) -> str:
+    return f"(floor(({x})*1e{digits} + 0.5e0)/1e{digits} + 0.0e0)"
+
+
+def _points_sql(name: str, key: str, *columns: str, lat: Callable = lat_of, lng: Callable = lng_of) -> str:
+    return f"(select {', '.join((key, *columns))}, {lat(key)} as lat, {lng(key)} as lng from {name})"
+
+
+CUSTOMERS, SUPPLIERS = _points_sql("customer", "c_custkey", "c_nationkey"), _points_sql("supplier", "s_suppkey", "s_nationkey")
+
+
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points(table(spark, sf_dir, "customer"), "c_custkey", "c_nationkey")
+
+
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points(table(spark, sf_dir, "supplier"), "s_suppkey", "s_nationkey")
+
+
+# ---- distances -----------------------------------------------------------------------------------------------------
+
+
+@query(f"""
+select c_custkey, s_suppkey, {sql_round('km', 3)} as km, {sql_round('km/40.0e0*60', 2)} as duration_min
+from (select c_custkey, s_suppkey, {sql_km('c.lat', 'c.lng', 's.lat', 's.lng')} as km from {CUSTOMERS} c cross join {SUPPLIERS} s)
+""")
+def distance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proximity.distance_matrix(customers(spark, sf_dir).drop("c_nationkey"), suppliers(spark, sf_dir).drop("s_nationkey"))
+
+
+@query(f"""
+select c_custkey, s_suppkey, {sql_round('km', 3)} as km from (
+  select *, row_number() over (partition by c_custkey order by km, s_suppkey) as n
+  from (select c_custkey, s_suppkey, {sql_km('c.lat', 'c.lng', 's.lat', 's.lng')} as km from {CUSTOMERS} c cross join {SUPPLIERS} s)
+) where n = 1
+""")
+def nearest_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = proximity.nearest(customers(spark, sf_dir), suppliers(spark, sf_dir), "c_custkey", "s_suppkey")
+    return found.withColumn("km", round_km("km"))
+
+
+EPS_KM = 250.5
+
+
+@query(f"""
+select a.c_custkey as c_custkey, count(*) as n_neighbors from {CUSTOMERS} a join {CUSTOMERS} b
+on {sql_km('a.lat', 'a.lng', 'b.lat', 'b.lng')} <= {EPS_KM}e0 group by a.c_custkey
+""")
+def region_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proximity.region_query(customers(spark, sf_dir), "c_custkey", EPS_KM)
+
+
+@query(f"""
+select c_custkey, s_suppkey, {sql_round('km', 3)} as km
+from (select c_custkey, s_suppkey, {sql_km('c.lat', 'c.lng', 's.lat', 's.lng')} as km from {CUSTOMERS} c cross join {SUPPLIERS} s)
+where km <= 900.5e0
+""")
+def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = proximity.range_join(customers(spark, sf_dir).drop("c_nationkey"), suppliers(spark, sf_dir).drop("s_nationkey"), 900.5)
+    return pairs.select("c_custkey", "s_suppkey", round_km("km").alias("km"))
+
+
+@query(f"""
+select a.s_nationkey as s_nationkey, a.s_suppkey as from_key, b.s_suppkey as to_key, {sql_round(sql_km('a.lat', 'a.lng', 'b.lat', 'b.lng'), 3)} as km,
+  {sql_round(sql_km('a.lat', 'a.lng', 'b.lat', 'b.lng') + '/50.0e0*60', 2)} as duration_min
+from {SUPPLIERS} a join {SUPPLIERS} b on a.s_nationkey = b.s_nationkey
+""")
+def request_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested matrices of the suppliers of each nation, unnested again."""
+    s = suppliers(spark, sf_dir)
+    listed = s.groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "lat", "lng"))).alias("p"))
+    requests = listed.select(
+        F.col("s_nationkey").alias("request_id"), F.col("p").alias("origins"), F.lit(None).cast("array<struct<s_suppkey:bigint,lat:double,lng:double>>").alias("destinations"),
+        F.lit(50.0).alias("average_speed_kmh"),
+    )
+    nested = proximity.request_matrices(requests, max_cells=2**31 - 1).join(listed.withColumnRenamed("s_nationkey", "request_id"), "request_id")
+    rows = nested.select("request_id", "p", F.posexplode(F.arrays_zip("distances_km", "durations_min")).alias("i", "row"))
+    cells = rows.select("request_id", F.expr("p[i].s_suppkey").alias("from_key"), "p", F.posexplode(F.arrays_zip("row.distances_km", "row.durations_min")).alias("j", "c"))
+    return cells.select(
+        F.col("request_id").alias("s_nationkey"), "from_key", F.expr("p[j].s_suppkey").alias("to_key"), F.col("c.distances_km").alias("km"), F.col("c.durations_min").alias("duration_min")
+    )
+
+
+# ---- scalars -------------------------------------------------------------------------------------------------------
+
+_WIDE_LNG = "((o_orderkey*104729) % 360001)/100.0e0 - 1800.0e0"
+
+
+@query(f"select o_orderkey, {sql_round(sql_norm(_WIDE_LNG), 6)} as lng_norm, {sql_round(sql_norm(f'10.0e0 - ({_WIDE_LNG})'), 6)} as delta from orders")
+def normalize_longitude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_WIDE_LNG).alias("x"))
+    return o.select("o_orderkey", round_deg(normalize_lng("x")).alias("lng_norm"), round_deg(normalize_lng(F.lit(10.0) - F.col("x"))).alias("delta"))
+
+
+_SIGNED = "(((o_orderkey*31) % 4001) - 2000)/1000.0e0"
+
+
+@query(f"""
+select o_orderkey, {sql_round(_SIGNED, 2)} as rounded_2, {sql_round(_SIGNED, 0)} as rounded_0, {sql_round('abs(' + _SIGNED + ')/60.0e0*60', 2)} as minutes
+from orders
+""")
+def rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_SIGNED).alias("x"))
+    return o.select("o_orderkey", round_half_up("x", 2).alias("rounded_2"), round_half_up("x", 0).alias("rounded_0"), round_min(duration_min(F.abs("x"), 60.0)).alias("minutes"))
+
+
+def _sql_height() -> str:
+    base, left, right = sql_km("0.0e0", "0.0e0", "10.0e0", "170.0e0"), sql_km("0.0e0", "0.0e0", "lat", "lng"), sql_km("10.0e0", "170.0e0", "lat", "lng")
+    return f"""
+select c_custkey, {sql_round('2*sqrt(greatest(0.0e0, h*(h - base)*(h - l)*(h - r)))/base', 3)} as km
+from (select *, (base + l + r)/2 as h from (select c_custkey, {base} as base, {left} as l, {right} as r from {CUSTOMERS}))
+"""
+
+
+@query(_sql_height())
+def line_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance of each customer to the line through (0, 0) and (10, 170)."""
+    at = [F.lit(x) for x in (0.0, 0.0, 10.0, 170.0)]
+    return customers(spark, sf_dir).select("c_custkey", round_km(line_distance_km(F.col("lat"), F.col("lng"), *at)).alias("km"))
+
+
+@query(r"""
+select page_id, regexp_replace(regexp_replace(u, '([?&](?:key|access_token|token|api_key|apikey)=)[^&#\s"''\\]*', '\1REDACTED', 'gi'),
+  '(\b[a-z][a-z0-9+.-]*://)[^/\s@"''\\]+@', '\1REDACTED@', 'gi') as redacted
+from (select page_id, 'GET ' || replace(url, '://', '://user' || page_id || ':pw@') || '&Token=t' || page_id || '&k=1' as u from pages)
+""")
+def redact_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Credentials and tokens planted in the page URLs, removed again."""
+    user = F.concat(F.lit("://user"), F.col("page_id"), F.lit(":pw@"))
+    u = F.concat(F.lit("GET "), F.replace("url", F.lit("://"), user), F.lit("&Token=t"), F.col("page_id"), F.lit("&k=1"))
+    return table(spark, sf_dir, "pages").select("page_id", redact_column(u).alias("redacted"))
+
+
+# ---- aggregates ----------------------------------------------------------------------------------------------------
+
+
+@query(f"""
+select c_nationkey, {sql_round('degrees(atan2(z, sqrt(x*x + y*y)))', 6)} as lat, {sql_round('degrees(atan2(y, x))', 6)} as lng from (
+  select c_nationkey, sum(cos(radians(lat))*cos(radians(lng))) as x, sum(cos(radians(lat))*sin(radians(lng))) as y, sum(sin(radians(lat))) as z
+  from {CUSTOMERS} group by c_nationkey)
+""")
+def spherical_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mean = spherical_mean("lat", "lng")
+    found = customers(spark, sf_dir).groupBy("c_nationkey").agg(mean["lat"].alias("lat"), mean["lng"].alias("lng"))
+    return found.select("c_nationkey", round_deg("lat").alias("lat"), round_deg("lng").alias("lng"))
+
+
+_EAST = _points_sql("customer", "c_custkey", "c_nationkey", lng=lambda k: f"((({k})*104729) % 9001)/100.0e0 + 140.0e0")
+
+
+@query(f"""
+with p as (select c_nationkey, lat, {sql_norm('lng')} as lng from {_EAST}),
+d as (select distinct c_nationkey, lng from p),
+g as (select c_nationkey, lng, lng - lag(lng) over w as gap, lag(lng) over w as prev from d window w as (partition by c_nationkey order by lng)),
+b as (select *, row_number() over (partition by c_nationkey order by gap desc, lng) as n from g where gap is not null),
+e as (select c_nationkey, min(lat) as min_lat, max(lat) as max_lat, min(lng) as a, max(lng) as z from p group by c_nationkey)
+select e.c_nationkey, min_lat, case when coalesce(gap > a + 360 - z, false) then b.lng else a end as min_lng, max_lat,
+  case when coalesce(gap > a + 360 - z, false) then b.prev else z end as max_lng, coalesce(gap > a + 360 - z, false) as crosses
+from e left join b on e.c_nationkey = b.c_nationkey and n = 1
+""")
+def bounding_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of customers laid out around the antimeridian."""
+    p = points(table(spark, sf_dir, "customer"), "c_custkey", "c_nationkey", lng=lambda k: f"((({k})*104729) % 9001)/100.0e0 + 140.0e0")
+    return boundary.bounding_box(p, "c_nationkey")
+
+
+@query(f"""
+select c_nationkey, count(distinct (lat, {sql_norm('lng')})) as n_distinct
+from (select c_nationkey, ((c_custkey*7919) % 17)*1.0e0 as lat, ((c_custkey*104729) % 13)*90.0e0 as lng from customer) group by c_nationkey
+""")
+def count_distinct_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select("c_nationkey", F.expr("((c_custkey*7919) % 17)*1.0e0").alias("lat"), F.expr("((c_custkey*104729) % 13)*90.0e0").alias("lng"))
+    return c.groupBy("c_nationkey").agg(distinct_points("lat", "lng").alias("n_distinct"))
+
+
+# ---- polygons ------------------------------------------------------------------------------------------------------
+
+POLYGONS = {
+    1: [(-40.005, -60.005), (55.005, -70.005), (60.005, 40.005), (5.005, 10.005), (-30.005, 50.005)],
+    2: [(-50.005, 150.005), (-50.005, -150.005), (45.005, -140.005), (50.005, 160.005)],
+    3: [(0.005, 0.005), (0.005, 30.005), (30.005, 30.005), (30.005, 0.005)],
+}
+
+
+def _sql_polygons() -> str:
+    edges = [
+        (i, *a, *b, any(abs(v[(k + 1) % len(v)][1] - v[k][1]) > 180 for k in range(len(v))))
+        for i, v in POLYGONS.items()
+        for a, b in zip(v, v[1:] + v[:1])
+    ]
+    values = ", ".join(f"({i}, {a}e0, {b}e0, {c}e0, {d}e0, {str(w).lower()})" for i, a, b, c, d, w in edges)
+    east = lambda x: f"(case when wide and {x} < 0 then {x} + 360.0e0 else {x} end)"
+    return f"""
+with e(poly_id, alat, alng, blat, blng, wide) as (values {values})
+select c_custkey, poly_id, sum(case when (alat > lat) <> (blat > lat)
+  and {east('lng')} < ({east('alng')} - {east('blng')})*(lat - blat)/nullif(alat - blat, 0) + {east('blng')} then 1 else 0 end) % 2 = 1 as inside
+from {CUSTOMERS} cross join e group by c_custkey, poly_id
+"""
+
+
+@query(_sql_polygons())
+def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boundary.in_polygons(customers(spark, sf_dir), POLYGONS).select("c_custkey", "poly_id", "inside")
+
+
+def _sql_inside() -> str:
+    return f"select c_custkey, poly_id from ({_sql_polygons()}) where inside"
+
+
+@query(_sql_inside())
+def geofence_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same polygons as a table, joined by grid cells."""
+    rows = [(i, [{"lat": a, "lng": b} for a, b in v]) for i, v in POLYGONS.items()]
+    fences = spark.createDataFrame(rows, "poly_id int, polygon array<struct<lat:double,lng:double>>")
+    return boundary.geofence_join(customers(spark, sf_dir), fences).select("c_custkey", "poly_id")
+
+
+@query(f"""
+with e(poly_id, south, west, north, east) as (values (3, 0.005e0, 0.005e0, 30.005e0, 30.005e0))
+select event_id, poly_id from {_points_sql('events', 'event_id')} cross join e
+where lat >= south and lat < north and lng >= west and lng < east
+""")
+def stream_geofence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of points, matched with a fence, run until all files are read."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    name = f"fenced_{uuid.uuid4().hex}"
+    matched = geofence(points(stream, "event_id"), {3: POLYGONS[3]}).select("event_id", "poly_id")
+    running = matched.writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.table(name)
+
+
+@query("""
+with d as (select distinct s_nationkey as k, ((s_suppkey*37) % 101)*1.0e0 as x, ((s_suppkey*53) % 89)*1.0e0 as y from supplier),
+side as (select a.k, a.x as x1, a.y as y1, b.x as x2, b.y as y2 from d a join d b on a.k = b.k and (a.x <> b.x or a.y <> b.y))
+select distinct k as s_nationkey, y1 as lat, x1 as lng from side s where not exists (
+  select 1 from d p where p.k = s.k and (
+    (x2 - x1)*(p.y - y1) - (y2 - y1)*(p.x - x1) < 0
+    or ((x2 - x1)*(p.y - y1) - (y2 - y1)*(p.x - x1) = 0
+      and ((p.x - x1)*(x2 - x1) + (p.y - y1)*(y2 - y1) < 0 or (p.x - x2)*(x1 - x2) + (p.y - y2)*(y1 - y2) < 0))))
+union all select k, min(y), min(x) from d group by k having count(*) = 1
+""")
+def convex_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners of the suppliers of each nation, on a lattice without close calls."""
+    s = table(spark, sf_dir, "supplier").select("s_nationkey", F.expr("((s_suppkey*53) % 89)*1.0e0").alias("lat"), F.expr("((s_suppkey*37) % 101)*1.0e0").alias("lng"))
+    return boundary.convex_hull(s, "s_nationkey").select("s_nationkey", "lat", "lng")
+
+
+# ---- clusters ------------------------------------------------------------------------------------------------------
+
+_TOWNS = _points_sql("customer", "c_custkey", lat=town_lat, lng=town_lng)
+TOWN_EPS, TOWN_MIN = 1.205, 4
+
+
+@query(f"""
+with recursive p as {_TOWNS},
+pairs as (select a.c_custkey as a, b.c_custkey as b from p a join p b on {sql_km('a.lat', 'a.lng', 'b.lat', 'b.lng')} <= {TOWN_EPS}e0),
+core as (select a from pairs group by a having count(*) >= {TOWN_MIN}),
+links as (select a, b from pairs where a in (from core) and b in (from core)),
+reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+comp as (select a, min(b) as c from reach group by a),
+num as (select c, row_number() over (order by c) - 1 as label from (select distinct c from comp)),
+lab as (select a, label from comp join num using (c)),
+border as (select pairs.a, min(label) as label from pairs join lab on pairs.b = lab.a where pairs.a not in (from core) group by pairs.a)
+select c_custkey, cast(coalesce(lab.label, border.label, -1) as integer) as label
+from p left join lab on c_custkey = lab.a left join border on c_custkey = border.a
+""")
+def dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(table(spark, sf_dir, "customer"), "c_custkey", lat=town_lat, lng=town_lng)
+    return clustering.large_dbscan(p, "c_custkey", TOWN_EPS, TOWN_MIN)
+
+
+@query()
+def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels, _ = clustering.large_kmeans(suppliers(spark, sf_dir), "s_suppkey", 8)
+    return labels
+
+
+@query()
+def cluster_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A k-means request and a DBSCAN request for each nation's suppliers."""
+    s = suppliers(spark, sf_dir).withColumn("idx", (F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")) - 1).cast("int"))
+    both = F.explode(F.array(F.lit("kmeans"), F.lit("dbscan")))
+    p = s.withColumn("algorithm", both).withColumn("request_id", F.concat_ws("-", "algorithm", "s_nationkey"))
+    options = p.select("request_id", "algorithm").distinct().select(
+        "request_id", "algorithm", F.lit(3).alias("k"), F.lit(2500.0).alias("eps_km"), F.lit(2).alias("min_pts"), F.lit(42).cast("long").alias("seed")
+    )
+    found = clustering.clusters(p.select("request_id", "idx", "lat", "lng"), clustering.cluster_requests(p, options))
+    return found.select("request_id", "id", "size", F.col("centroid.lat").alias("lat"), F.col("centroid.lng").alias("lng"), "noise")
+
+
+# ---- routes --------------------------------------------------------------------------------------------------------
+
+_SWEEP = f"""
+s as (select s_nationkey as k, s_suppkey as i, lat, lng, row_number() over (partition by s_nationkey order by s_suppkey) as r from {SUPPLIERS}),
+base as (select k, lat as blat, lng as blng from s where r = 1),
+ang as (select s.k, i, atan2(lat - blat, {sql_norm('lng - blng')}*cos(radians(blat))) as angle from s join base on s.k = base.k where r > 1),
+gap as (select *, row_number() over w as n, angle - coalesce(lag(angle) over w, max(angle) over (partition by k) - 2*pi()) as gap from ang
+  window w as (partition by k order by angle, i)),
+start as (select k, min(n) as first, any_value(c) as c from (select k, n, gap, max(gap) over (partition by k) as widest, count(*) over (partition by k) as c from gap)
+  where gap >= widest - 1e-9 group by k),
+sweep as (select gap.k as s_nationkey, i as s_suppkey, cast((n - first + c) % c as integer) as seq from gap join start on gap.k = start.k)
+"""
+
+
+def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = suppliers(spark, sf_dir).withColumn("r", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")))
+    return routing.sweep_order(s, "s_nationkey", "s_suppkey", F.col("r") == 1)
+
+
+@query(f"with {_SWEEP} select s_nationkey, s_suppkey, seq from sweep")
+def sweep_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of each nation by angle around the first one."""
+    return _sweep(spark, sf_dir)
+
+
+@query(f"""
+with {_SWEEP} select s_nationkey, s_suppkey, cast(ntile(3) over (partition by s_nationkey order by seq) - 1 as integer) as vehicle_id from sweep
+""")
+def assign_vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.assign_even(_sweep(spark, sf_dir), "s_nationkey", 3).drop("seq")
+
+
+#: Requests of at most so many stops, made of the suppliers of a nation in the order of their keys.
+TSP_STOPS, VRP_STOPS = 6, 40
+
+
+def _requests(df: DataFrame, key: str, nation: str, size: int) -> DataFrame:
+    numbered = df.withColumn("_n", F.row_number().over(Window.partitionBy(nation).orderBy(key)) - 1)
+    return numbered.withColumn("request_id", F.col(nation) * 100000 + F.floor(F.col("_n") / size).cast("int")).withColumn("idx", (F.col("_n") % size).cast("int")).drop("_n")
+
+
+@query(f"""
+with recursive p as (
+  select s_nationkey*100000 + cast(floor((r - 1)/{TSP_STOPS}.0e0) as integer) as q, cast((r - 1) % {TSP_STOPS} as integer) as i, lat, lng
+  from (select *, row_number() over (partition by s_nationkey order by s_suppkey) as r from {SUPPLIERS})),
+n as (select q, count(*) as n from p group by q),
+km as (select a.q, a.i, b.i as j, {sql_km('a.lat', 'a.lng', 'b.lat', 'b.lng')} as km from p a join p b on a.q = b.q),
+walk(q, pos, seen, km, steps) as (
+  select q, 0, 1, 0.0e0, 1 from n
+  union all select w.q, km.j, w.seen | (1 << km.j), w.km + km.km, w.steps + 1 from walk w join km on km.q = w.q and km.i = w.pos and (w.seen & (1 << km.j)) = 0)
+select w.q as request_id, cast(n.n as integer) as n_points, {sql_round('min(w.km + km.km)', 3)} as km
+from walk w join n on n.q = w.q and n.n = w.steps join km on km.q = w.q and km.i = w.pos and km.j = 0 group by w.q, n.n
+""")
+def tsp_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shortest closed tours over requests of a few suppliers."""
+    w = _requests(suppliers(spark, sf_dir), "s_suppkey", "s_nationkey", TSP_STOPS)
+    counts = w.groupBy("request_id").agg(F.count("*").cast("int").alias("n_points"))
+    several = w.join(counts.where("n_points > 1"), "request_id", "left_semi")
+    routes = routing.optimize_routes(several, _options(several, 1, None))
+    length = routes.select("request_id", F.col("distance_km").alias("km"))
+    return counts.join(length, "request_id", "left").select("request_id", "n_points", F.coalesce("km", F.lit(0.0)).alias("km"))
+
+
+def _options(w: DataFrame, vehicles: int, capacity: float | None) -> DataFrame:
+    return w.select("request_id").distinct().select(
+        "request_id", F.lit(vehicles).alias("vehicle_count"), F.lit(capacity).cast("double").alias("capacity"), F.lit(True).alias("closed"),
+        F.lit(0).alias("start_index"), F.lit(40.0).alias("average_speed_kmh"),
+    )
+
+
+@query()
+def vrp_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes of three vehicles with a capacity and due times, over requests of up to forty customers."""
+    w = _requests(customers(spark, sf_dir), "c_custkey", "c_nationkey", VRP_STOPS)
+    w = w.select(
+        "request_id", "idx", "lat", "lng", F.expr("1 + c_custkey % 4").cast("double").alias("demand"),
+        F.when(F.col("idx") % 9 == 4, F.lit(60000.0)).alias("due_time_min"), F.lit(10.0).alias("service_time_min"),
+    )
+    several = w.join(w.groupBy("request_id").count().where("count > 1"), "request_id", "left_semi")
+    routes = routing.optimize_routes(several, _options(several, 3, 40.0))
+    return routes.select("request_id", "vehicle_id", F.size("stops").alias("n_stops"), "distance_km", "duration_min", "demand", F.size("violations").alias("n_violations"))
+
+
+@query()
+def route_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = _requests(suppliers(spark, sf_dir), "s_suppkey", "s_nationkey", VRP_STOPS).select("request_id", "idx", "lat", "lng")
+    several = w.join(w.groupBy("request_id").count().where("count > 1"), "request_id", "left_semi")
+    found = routing.route_summary(routing.optimize_routes(several, _options(several, 2, None)))
+    return found.select("request_id", "feasible", round_km("total_distance_km").alias("km"), round_min("total_duration_min").alias("minutes"), "n_routes")
+
+
+_VISITS = """select s_nationkey, cast(row_number() over (partition by s_nationkey order by s_suppkey) - 1 as integer) as seq,
+  ((s_suppkey*7) % 50)*1.5e0 as leg_min, case when s_suppkey % 3 = 0 then ((s_suppkey*11) % 400)*1.0e0 end as ready_min,
+  case when s_suppkey % 2 = 0 then ((s_suppkey*13) % 300)*1.0e0 end as due_min, (s_suppkey % 5)*2.5e0 as service_min from supplier"""
+
+
+@query(f"""
+with recursive v as ({_VISITS}),
+t(s_nationkey, seq, arrival_min, wait_min, departure_min, late_min) as (
+  select s_nationkey, seq, 0.0e0, greatest(0.0e0, coalesce(ready_min, 0.0e0)), greatest(0.0e0, coalesce(ready_min, 0.0e0)) + service_min, 0.0e0 from v where seq = 0
+  union all
+  select v.s_nationkey, v.seq, departure_min + leg_min, greatest(0.0e0, coalesce(ready_min, 0.0e0) - (departure_min + leg_min)),
+    greatest(departure_min + leg_min, coalesce(ready_min, 0.0e0)) + service_min, greatest(0.0e0, departure_min + leg_min - coalesce(due_min, departure_min + leg_min))
+  from t join v on v.s_nationkey = t.s_nationkey and v.seq = t.seq + 1)
+select s_nationkey, seq, {', '.join(f'{sql_round(c, 2)} as {c}' for c in ('arrival_min', 'wait_min', 'departure_min', 'late_min'))} from t
+""")
+def vrp_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals, waits and departures along the suppliers of each nation in the order of their keys."""
+    table(spark, sf_dir, "supplier").createOrReplaceTempView("_supplier_visits")
+    visits = spark.sql(_VISITS.replace("from supplier", "from _supplier_visits"))
+    found = routing.schedule_orders(visits, "s_nationkey")
+    return found.select("s_nationkey", "seq", *(round_min(c).alias(c) for c in ("arrival_min", "wait_min", "departure_min", "late_min")))
+
+
+@query(f"""
+select s_nationkey, {sql_round('sum(' + sql_km('lat', 'lng', 'to_lat', 'to_lng') + ')', 3)} as km from (
+  select s_nationkey, lat, lng, coalesce(lead(lat) over w, first_value(lat) over w) as to_lat, coalesce(lead(lng) over w, first_value(lng) over w) as to_lng
+  from {SUPPLIERS} window w as (partition by s_nationkey order by s_suppkey))
+group by s_nationkey
+""")
+def path_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length of the closed path over the suppliers of each nation in the order of their keys."""
+    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    legs = suppliers(spark, sf_dir).select(
+        "s_nationkey", "lat", "lng", *(F.coalesce(F.lead(c).over(w), F.first(c).over(w)).alias(f"next_{c}") for c in ("lat", "lng"))
+    )
+    return legs.groupBy("s_nationkey").agg(round_km(F.sum(haversine_km("lat", "lng", "next_lat", "next_lng"))).alias("km"))
+
+
+# ---- lines and GeoJSON ---------------------------------------------------------------------------------------------
+
+TOLERANCE_KM = 2000.5
+
+
+@query(f"""
+with recursive p as (select user_id, event_id, cast(row_number() over (partition by user_id order by ts, event_id) - 1 as integer) as i, lat, lng
+  from {_points_sql('events', 'event_id', 'user_id', 'ts')}),
+n as (select user_id, max(i) as last from p group by user_id),
+d as (select a.user_id, a.i, b.i as j, {sql_km('a.lat', 'a.lng', 'b.lat', 'b.lng')} as km from p a join p b on a.user_id = b.user_id),
+h as (select s.user_id, s.i as a, s.j as b, x.j as m, s.km as base, x.km as l, y.km as r, (s.km + x.km + y.km)/2 as h
+  from d s join d x on x.user_id = s.user_id and x.i = s.i and x.j > s.i and x.j < s.j join d y on y.user_id = s.user_id and y.i = s.j and y.j = x.j where s.i < s.j),
+f as (select user_id, a, b, m, case when base = 0 then l else 2*sqrt(greatest(0.0e0, h*(h - base)*(h - l)*(h - r)))/base end as far from h),
+split as (select user_id, a, b, m from (select *, row_number() over (partition by user_id, a, b order by far desc, m) as n from f) where n = 1 and far > {TOLERANCE_KM}e0),
+r(user_id, a, b) as (
+  select user_id, 0, last from n
+  union all select r.user_id, case when side = 0 then r.a else m end, case when side = 0 then m else r.b end
+  from r join split s on s.user_id = r.user_id and s.a = r.a and s.b = r.b cross join (values (0), (1)) as t(side)),
+kept as (select user_id, a as i from r union select user_id, b from r)
+select p.user_id, event_id from kept join p on p.user_id = kept.user_id and p.i = kept.i
+""")
+def simplify_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each user that line simplification keeps."""
+    import pandas as pd
+
+    def kept(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ts", "event_id"])
+        return pdf.iloc[kept_by_simplification(pdf["lat"].to_numpy(), pdf["lng"].to_numpy(), TOLERANCE_KM)][["user_id", "event_id"]]
+
+    return points(table(spark, sf_dir, "events"), "event_id", "user_id", "ts").groupBy("user_id").applyInPandas(kept, "user_id long, event_id long")
+
+
+_LINES = """'{"type":"' || case when c_custkey % 7 = 0 then 'Curve' else 'LineString' end || '","coordinates":[[0,' || cast(c_custkey % 120 as varchar(20)) || '],['
+ || case when c_custkey % 11 = 0 then '"x"' else '10' end || ',1]]}'"""
+
+
+@query("""
+select c_custkey, c_custkey % 7 <> 0 and c_custkey % 120 <= 90 and c_custkey % 11 <> 0 as valid,
+  cast(case when c_custkey % 7 = 0 then 1 else case when c_custkey % 120 > 90 then 1 else 0 end + case when c_custkey % 11 = 0 then 1 else 0 end end as integer) as n_errors
+from customer
+""")
+def geojson_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, some with a wrong type, a latitude out of range or a text for a number."""
+    checked = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_LINES).alias("g")).select("c_custkey", validate_column("g").alias("v"))
+    return checked.select("c_custkey", "v.valid", F.size("v.errors").alias("n_errors"))
+
+
+def _user_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(table(spark, sf_dir, "events"), "event_id", "user_id", "ts")
+    lines = p.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "lng", "lat"))).alias("p"))
+    body = F.array_join(F.transform("p", lambda x: F.concat(F.lit("["), x["lng"].cast("string"), F.lit(","), x["lat"].cast("string"), F.lit("]"))), ",")
+    return lines.select("user_id", F.concat(F.lit('{"type":"LineString","coordinates":['), body, F.lit("]}")).alias("geojson"))
+
+
+@query()
+def geojson_simplify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _user_lines(spark, sf_dir).select("user_id", simplify_column("geojson", TOLERANCE_KM).alias("s")).select("user_id", "s.geojson", "s.error")
+
+
+@query("select s_nationkey, cast(count(*) as integer) as n_features from supplier group by s_nationkey")
+def feature_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of each nation as a feature collection, counted in the text."""
+    listed = suppliers(spark, sf_dir).groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct(F.col("s_suppkey").cast("string").alias("id"), "lat", "lng"))).alias("p"))
+
+    @F.udf("string", useArrow=False)
+    def collection(rows: list) -> str:
+        return dump(feature_collection([r.asDict() for r in rows]))
+
+    return listed.select("s_nationkey", collection("p").alias("g")).select("s_nationkey", F.json_array_length(F.get_json_object("g", "$.features")).alias("n_features"))
+
+
+# ---- lookups and requests ------------------------------------------------------------------------------------------
+
+
+@query(f"select n_name, lat, lng from {_points_sql('nation', 'n_nationkey', 'n_name')}")
+def geocode_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nation names, written differently, looked up in a table of places."""
+    n = table(spark, sf_dir, "nation")
+    places = points(n, "n_nationkey", "n_name").select(F.col("n_name").alias("address"), "lat", "lng")
+    asked = n.select("n_name", F.concat(F.lit("  "), F.lower("n_name"), F.lit(" ")).alias("address"))
+    return gazetteer_lookup(asked, places).select("n_name", "lat", "lng")
+
+
+@query(f"select s_suppkey, {sql_round(sql_km('0.0e0', '0.0e0', 'lat', 'lng'), 3)} as km from {SUPPLIERS}")
+def json_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A distance request in JSON for each supplier."""
+    to = F.to_json(F.struct(F.array(F.struct(F.lit(0.0).alias("lat"), F.lit(0.0).alias("lng"))).alias("origins"), F.array(F.struct("lat", "lng")).alias("destinations")))
+    asked = suppliers(spark, sf_dir).select("s_suppkey", F.lit("distance_matrix").alias("operation"), to.alias("payload"))
+    found = answer_requests(asked, id_col="s_suppkey")
+    return found.select("s_suppkey", F.get_json_object("result", "$.distancesKm[0][0]").cast("double").alias("km"))
