@@ -20,8 +20,8 @@ QUANTUM = 1000
 TEMPER = 0.5
 #: Most sources that can be mixed; more are an error, not a slower plan.
 MAX_SOURCES = 4096
-#: Parts that each source's rows are numbered in, so that a large source is not one task's work.
-PARTS = 256
+#: Hex digits that name the parts that each source's rows are numbered in, so that a large source is not one task's work.
+PART_DIGITS = 2
 
 _FOLD = """
 aggregate(
@@ -72,12 +72,16 @@ def schedule(weights: DataFrame) -> DataFrame:
 
 
 def ranked(docs: DataFrame, id_col: str, source_col: str) -> DataFrame:
-    """``docs`` with ``_key`` and ``_rank``, the row's number in its source from 0 (by a hash of the id, in parts)."""
-    rows = docs.withColumn("_key", _key(F.col(source_col))).withColumn("_part", F.pmod(F.xxhash64(F.lit(11), F.col(id_col)), F.lit(PARTS)).cast("int"))
+    """``docs`` with ``_key`` and ``_rank``, the row's number in its source from 0, by the MD5 of the id as text.
+
+    Parts are the leading digits of that hash, so numbers run on from part to part.
+    """
+    rows = docs.withColumn("_key", _key(F.col(source_col))).withColumn("_hash", F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")))
+    rows = rows.withColumn("_part", F.substring("_hash", 1, PART_DIGITS))
     sizes = rows.groupBy("_key", "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_key", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    own = Window.partitionBy("_key", "_part").orderBy(F.xxhash64(F.lit(12), F.col(id_col)), F.col(id_col))
+    own = Window.partitionBy("_key", "_part").orderBy("_hash", F.col(id_col))
     return rows.withColumn("_own", F.row_number().over(own)).join(offsets, ["_key", "_part"]).withColumn("_rank", F.col("_offset") + F.col("_own") - 1)
 
 
@@ -116,3 +120,29 @@ def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, id_col: s
 def in_order(mixed: DataFrame) -> DataFrame:
     """The rows of ``mix`` in their order (range-partitioned and sorted), without the schedule."""
     return mixed.orderBy("mix.slot", "mix.place").drop("mix")
+
+
+def oracle(block_rows: int = BLOCK_ROWS, quantum: int = QUANTUM) -> str:
+    """DuckDB SQL of the schedule of ``documents`` with default weights."""
+    return f"""
+with recursive sizes as (select coalesce('=' || source, 'null') as key, count(*) as n from documents group by 1),
+weights as (select key, cast(greatest(1, round({quantum}*sqrt(n)/(select sum(sqrt(n)) from sizes))) as bigint) as w from sizes),
+one as (select list(key order by key) as keys, list(w order by key) as ws, cast(sum(w) as bigint) as total from weights),
+-- earliest deadline among the released blocks; ties to the first key
+choice(t, taken, pick) as (
+  select cast(-1 as bigint), list_transform(ws, lambda w: cast(0 as bigint)), cast(0 as bigint) from one
+  union all
+  select t + 1, list_transform(taken, lambda n, j: n + cast(j = best as bigint)), best
+  from (select t, taken, total, list_min(list_transform(
+      list_filter(range(1, len(ws) + 1), lambda i: taken[i] < ws[i] and (taken[i]*total) // ws[i] <= t + 1),
+      lambda i: (((taken[i] + 1)*total + ws[i] - 1) // ws[i])*100000 + i)) % 100000 as best
+    from choice, one where t + 1 < total)
+),
+slots as (select keys[pick] as key, ws[pick] as w, total, t as slot, row_number() over (partition by pick order by t) - 1 as k from choice, one where t >= 0),
+ranked as (select doc_id, source, coalesce('=' || source, 'null') as key,
+  row_number() over (partition by source order by md5(coalesce(cast(doc_id as varchar), '')), doc_id) - 1 as r from documents)
+select doc_id, source, r // {block_rows} as block, cast(r % {block_rows} as integer) as place,
+  slot + ((r // {block_rows}) // w)*total as slot, (k*total) // w + ((r // {block_rows}) // w)*total as release,
+  ((k + 1)*total + w - 1) // w + ((r // {block_rows}) // w)*total as deadline
+from ranked join slots on slots.key = ranked.key and (r // {block_rows}) % w = k
+"""

@@ -90,5 +90,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_pfair_mixing": mixing.oracle(),
+    "op6_substring_dedup": f"""
+with d as (select row_number() over () as row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+w as (select row, doc_id, s, array_to_string(ws[s:s + {substrings.WINDOW - 1}], ' ') as t from d, unnest(range(1, len(ws) - {substrings.WINDOW - 2})) as u(s)),
+low as (select t, min(doc_id) as low from w group by t),
+gone as (select distinct row, s + o as p from w join low on w.t = low.t, range(0, {substrings.WINDOW}) as r(o) where low < doc_id),
+words as (select row, doc_id, p, ws[p] as word from d, unnest(range(1, len(ws) + 1)) as u(p)),
+kept as (select words.row, count(*) as n, string_agg(word, ' ' order by words.p) as text from words left join gone on words.row = gone.row and words.p = gone.p where gone.p is null group by words.row)
+select doc_id, len(ws) as n_words, len(ws) - coalesce(n, 0) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from d left join kept on d.row = kept.row
+""",
     "op7_chat_format": chat.oracle(),
 }
