@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.llm.textbytes import Words, pieces, text_pieces, xxh64
@@ -61,15 +61,17 @@ def fingerprint_texts(texts: list[bytes], width: int = SHINGLE, seed: int = 42)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, fp)`` for every row; ``fp`` holds the 64 bits as a long. Null text is empty."""
+    """``(id, mark, fp)`` for every row; ``fp`` holds the 64 bits as a long, ``mark`` is xxhash64 of the text. Null text is
+    empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.concatenate([np.zeros(0, np.uint64), *(fingerprint_texts(t) for _, _, t in text_pieces(batch.column(1)))]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["id", "fp"])
+            fp = np.concatenate([np.zeros(0, np.uint64), *(fingerprint_texts(t) for _, _, t in text_pieces(batch.column(2)))]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], names=["id", "mark", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, fp long")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col), F.xxhash64(text), text).mapInArrow(run, f"id {kind}, mark long, fp long")
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -197,6 +199,17 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, leaves: int = LEAVES, n:
     return pairs.groupBy("lo", "hi").applyInPandas(join, "u long, v long")
 
 
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """``(id, mark, fp, component, component_id)`` for every row: ``component`` names the group, also one without ids."""
+    fps = cut_lineage(fingerprints(docs, id_col, text_col))
+    nodes = fps.groupBy("fp").agg(F.min("id").alias("low"))
+    parts = connected_components(near_links(nodes.select("fp"), radius))
+    named = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
+    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    of = named.join(lowest, "component").select("fp", "component", "component_id")
+    return fps.join(of, "fp").select("id", "mark", "fp", "component", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """``(id, fp, component_id)`` for every row; documents link when their fingerprints differ in ``radius`` bits or fewer.
 
@@ -204,10 +217,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     any other. Rows that repeat an id keep a row each; a null id takes part but never names a component (null only if
     no row of its component has an id). An empty table gives an empty table; columns other than the two are not read.
     """
-    fps = cut_lineage(fingerprints(docs, id_col, text_col))
-    nodes = fps.groupBy("fp").agg(F.min("id").alias("low"))
-    parts = connected_components(near_links(nodes.select("fp"), radius))
-    named = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
-    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    of = named.join(lowest, "component").select("fp", "component_id")
-    return fps.join(of, "fp").select("id", "fp", "component_id")
+    return groups(docs, id_col, text_col, radius).select("id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One row of ``docs`` for each group of near-duplicates: that of the smallest id, of rows that repeat it the one of
+    the least hash of its text. Rows without an id stay. The texts are shuffled once, to meet the rows to keep."""
+    kept = (
+        groups(docs, id_col, text_col, radius).where("id = component_id").groupBy("component").agg(F.min(F.struct("id", "mark")).alias("k"))
+        .select(F.col("k.id").alias("_id"), F.col("k.mark").alias("_mark")).distinct()
+    )
+    # the row in one struct, so that no column of the caller's can clash with those of the join
+    named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_mark"), F.struct(*docs.columns).alias("_row"))
+    order = Window.partitionBy("_id", "_mark").orderBy("_id")
+    once = named.join(kept, ["_id", "_mark"]).withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    return once.select("_row.*").unionByName(docs.where(F.col(id_col).isNull()))

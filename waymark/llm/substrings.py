@@ -29,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from waymark.llm.textbytes import Words, mix, sliding, text_pieces, window_hashes
 from waymark.session import cut_lineage
@@ -69,12 +70,9 @@ class Windows:
             self.anchor = least
 
 
-def _bit(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - MAP_BITS)).astype(np.int64)
-
-
 def _in_map(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = _bit(h)
+    """Whether the bits of some hashes, named by their leading bits, are set."""
+    at = (h >> np.uint64(64 - (8 * len(bits)).bit_length() + 1)).astype(np.int64)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
@@ -104,7 +102,7 @@ def _over_windows(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for a, b, texts in text_pieces(batch.column(2)):
+            for a, b, texts in text_pieces(batch.column(2), 1 << 20):
                 words = Words(texts)
                 windows = Windows(words)
                 if len(windows.start):
@@ -316,9 +314,11 @@ def cover(runs: list[int] | None, n: int) -> np.ndarray:
 
 
 def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(row, text, spans)``: the columns but the text in one struct, so that none can clash with those of the join."""
     found = spans(docs, id_col, text_col)
-    left = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_mark", F.xxhash64(F.col(text_col).cast("string")))
-    return left.join(found.select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), F.col("spans").alias("_spans")), ["_id", "_mark"], "left").drop("_id", "_mark")
+    text = F.col(text_col).cast("string")
+    left = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("mark"), F.struct(*(c for c in docs.columns if c != text_col)).alias("row"), text.alias("text"))
+    return left.join(found, ["id", "mark"], "left").select("row", "text", "spans")
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -342,7 +342,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=["id", "n_words", "n_removed", "kept_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = _joined(docs.select(F.col(id_col).alias("_own"), F.col(text_col).cast("string").alias("_text")), "_own", "_text")
+    rows = _joined(docs.select(id_col, text_col), id_col, text_col).select(F.col("row")[id_col].alias("id"), "text", "spans")
     return rows.mapInArrow(run, f"id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -358,20 +358,18 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", char
     the new number of code points. Nulls, repeated and empty rows: as in ``digest``.
     """
     joined = _joined(docs, id_col, text_col)
-    at, spans_at = joined.columns.index(text_col), joined.columns.index("_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).cast(pa.binary()).to_pylist()
-            for i, runs in enumerate(batch.column(spans_at).to_pylist()):
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            for i, runs in enumerate(batch.column(2).to_pylist()):
                 if runs:
                     texts[i] = cut(texts[i], runs)
-            columns = [c for i, c in enumerate(batch.columns) if i != spans_at]
-            columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=[x for i, x in enumerate(batch.schema.names) if i != spans_at])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()).cast(pa.string())], names=["row", "text"])
 
-    out = joined.mapInArrow(run, docs.withColumn(text_col, F.col(text_col).cast("string")).select(*joined.drop("_spans").columns).schema).select(*docs.columns)
-    return out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else out
+    cut_out = joined.mapInArrow(run, StructType([joined.schema["row"], joined.schema["text"]]))
+    chars = {chars_col: F.length("text").cast(docs.schema[chars_col].dataType)} if chars_col in docs.columns else {}
+    return cut_out.select(*((F.col("text") if c == text_col else chars.get(c, F.col("row")[c])).alias(c) for c in docs.columns))
 
 
 def cut(text: bytes, runs: list[int]) -> bytes:

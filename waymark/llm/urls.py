@@ -103,8 +103,9 @@ def _as_sql(node: object, names: list[str]) -> str:
 
 
 def _described(pages: DataFrame, url_col: str, rules: tuple[Rule, ...]) -> DataFrame:
+    """The caller's columns in one struct, so that none can clash, and what is read from the URL."""
     url = F.col(url_col)
-    df = pages.select("*", url.alias("_url"), host(url).alias("_host"), path(url).alias("_path"))
+    df = pages.select(F.struct(*pages.columns).alias("_row"), url.alias("_url"), host(url).alias("_host"), path(url).alias("_path"))
     return df.withColumn("_rule", fitting_rule(F.col("_host"), F.col("_path"), rules))
 
 
@@ -148,6 +149,6 @@ def judge(pages: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] = RULE
     constant = 1.0 if set(sizes) == {1} else -1.0
     margin = F.expr(" + ".join(trees)) if trees else F.lit(constant)
     return described.select(
-        *(F.col(c) for c in kept.columns), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule.rule").alias("rule"),
+        *(F.col("_row")[c].alias(c) for c in kept.columns), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule.rule").alias("rule"),
         F.coalesce(F.col("_rule.verdict"), F.when(margin > 0, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), margin.alias("block_margin"),
     )
