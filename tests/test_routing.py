@@ -1,0 +1,208 @@
+from __future__ import annotations
+
+import itertools
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from waymark.errors import DomainError
+from waymark.functions.geo import np_distance_matrix
+from waymark.operators import routing as r
+
+SQUARE = np.array([(0, 0), (0, 1), (1, 1), (1, 0)], float)
+
+
+def lehmer(seed):
+    state = seed
+    while True:
+        state = state * 16807 % 2147483647
+        yield state / 2147483647
+
+
+def random_points(seed, n):
+    draw = lehmer(seed)
+    return np.array([(next(draw) * 2, next(draw) * 2) for _ in range(n)])
+
+
+def stops(points, **columns):
+    n = len(points)
+    p = np.asarray(points, float)
+    pick = lambda c: np.array([math.nan if x is None else x for x in columns.get(c, [None] * n)], float)
+    return r.Stops(p[:, 0], p[:, 1], *(pick(c) for c in ("demand", "ready", "due", "service")))
+
+
+def brute(km, closed):
+    n = len(km)
+    return min(r.tour_length(np.array([0, *p]), km, closed) for p in itertools.permutations(range(1, n)))
+
+
+def test_square():
+    km = np_distance_matrix(SQUARE[:, 0], SQUARE[:, 1])
+    order, length = r.solve_tsp(km)
+    assert order[0] == 0 and sorted(order) == [0, 1, 2, 3] and length == pytest.approx(sum(km[i, (i + 1) % 4] for i in range(4)))
+
+
+@pytest.mark.parametrize("closed", [True, False])
+@pytest.mark.parametrize("seed", range(1, 13))
+def test_exact_equals_brute_force(seed, closed):
+    p = random_points(seed, 4 + seed % 4)
+    km = np_distance_matrix(p[:, 0], p[:, 1])
+    assert r.solve_tsp(km, closed)[1] == pytest.approx(brute(km, closed), abs=1e-9)
+
+
+@pytest.mark.parametrize("closed", [True, False])
+@pytest.mark.parametrize("seed", range(20, 32))
+def test_heuristic_is_near_the_optimum(seed, closed):
+    p = random_points(seed, 7)
+    km = np_distance_matrix(p[:, 0], p[:, 1])
+    assert r.solve_tsp(km, closed, exact_stops=1)[1] <= 1.05 * brute(km, closed)
+
+
+def test_asymmetric_costs():
+    rng = np.random.default_rng(5)
+    for closed in (True, False):
+        for n in (9, 14):
+            km = rng.uniform(1, 50, (n, n))
+            order, length = r.solve_tsp(km, closed)
+            assert sorted(order) == list(range(n)) and length == pytest.approx(r.tour_length(np.array(order), km, closed))
+            assert length <= r.tour_length(r._greedy(n, 0, km), km, closed) + 1e-9
+
+
+def test_bad_input():
+    with pytest.raises(DomainError):
+        r.solve_tsp(np.zeros((0, 0)))
+    with pytest.raises(DomainError):
+        r.solve_tsp(np.zeros((2, 2)), start=2)
+    assert r.solve_tsp(np.zeros((1, 1))) == ([0], 0.0)
+    for bad in (
+        lambda: r.solve_vrp(stops(SQUARE[:1])), lambda: r.solve_vrp(stops(SQUARE), depot=4), lambda: r.solve_vrp(stops(SQUARE), km=np.zeros((2, 2))),
+        lambda: r.solve_vrp(stops(SQUARE[:2], ready=[None, 5], due=[None, 1])), lambda: r.solve_vrp(stops(SQUARE[:2]), speed_kmh=0),
+    ):
+        with pytest.raises(DomainError):
+            bad()
+
+
+def test_cost_matrix_and_speed():
+    km, minutes = np.array([[0, 50.0], [50, 0]]), np.array([[0, 70.0], [70, 0]])
+    found = r.solve_vrp(stops(SQUARE[:2]), closed=False, km=km, minutes=minutes)
+    assert (found["total_distance_km"], found["total_duration_min"]) == (50, 70)
+    found = r.solve_vrp(stops(SQUARE[:2]), km=np.array([[0, 20.0], [20, 0]]))
+    assert (found["total_distance_km"], found["total_duration_min"]) == (40, 60)
+
+
+def test_windows_decide_the_order():
+    found = r.solve_vrp(stops([(0, 0), (0, 0.01), (0, 0.02)], ready=[None, 60, None], due=[None, None, 20]), closed=False)["routes"][0]
+    assert [s["index"] for s in found["stops"]] == [0, 2, 1]
+    assert found["stops"][-1]["departure_min"] == 60
+
+
+def test_capacity():
+    points = [(0, 0), (0, 1), (0, 2), (0, 3)]
+    found = r.solve_vrp(stops(points, demand=[5, 3, 3, 3]), 2, 6)
+    assert sorted(x["demand"] for x in found["routes"]) == [3, 6] and not found["unassigned"]
+    found = r.solve_vrp(stops(points[:4], demand=[None, 10, 4, 4]), 1, 5)
+    assert len(found["unassigned"]) == 2 and found["routes"][0]["demand"] == 4 and not found["feasible"]
+    found = r.solve_vrp(stops(points[:2], demand=[0, 9]), 1, 5)
+    assert found["routes"] == [] and found["total_distance_km"] == 0 and found["unassigned"] == [1]
+
+
+def test_lateness():
+    found = r.solve_vrp(stops([(0, 0), (0, 5)], due=[None, 1]))
+    assert not found["feasible"] and found["routes"][0]["violations"][0]["index"] == 1
+    found = r.solve_vrp(stops([(0, 0), (0, 1)], due=[10, None]))
+    assert found["routes"][0]["violations"][0]["return_to_depot"] is True
+    found = r.solve_vrp(stops([(0, 0), (0, 1)], ready=[30, None], service=[5, None]), closed=False)
+    assert found["routes"][0]["stops"][0]["departure_min"] == 35
+
+
+def test_many_orders_are_timed_like_one():
+    p = random_points(3, 6)
+    s = stops(p, ready=[None, 50, None, 10, None, 300], due=[200, None, 20, 15, None, 310], service=[1, 2, None, 4, 5, 6])
+    km = np_distance_matrix(p[:, 0], p[:, 1])
+    for closed in (True, False):
+        costs = r.Costs(km, km / 40 * 60, closed)
+        orders = np.array([(0, *o) for o in itertools.permutations(range(1, 6))])
+        late = r.lateness(orders, s, costs)
+        for o, x in list(zip(orders.tolist(), late))[::17]:
+            assert sum(v["late_min"] for v in r.schedule(o, s, costs)["violations"]) == pytest.approx(x)
+
+
+def test_repair_only_improves():
+    p = random_points(9, 12)
+    s = stops(p, due=[None] + [60 + 20 * (i % 5) for i in range(11)])
+    km = np_distance_matrix(p[:, 0], p[:, 1])
+    costs = r.Costs(km, km / 40 * 60, True)
+    start = r._descend(r._greedy(12, 0, km), km, True)
+    better = r._repair(start, s, costs)
+    assert sorted(better.tolist()) == list(range(12))
+    assert r.lateness(better[None, :], s, costs)[0] <= r.lateness(start[None, :], s, costs)[0]
+
+
+def test_large_request_is_quick():
+    import time
+
+    p = random_points(77, 200)
+    began = time.process_time()
+    found = r.solve_vrp(stops(p, due=[None] + [5000.0] * 199, service=[2.0] * 200), 2)
+    assert sorted(x["index"] for v in found["routes"] for x in v["stops"][1:]) == list(range(1, 200))
+    assert time.process_time() - began < 60
+
+
+def frame(spark, requests):
+    rows = [(q, i, f"s{i}", float(a), float(x), d) for q, points in requests.items() for i, (a, x, d) in enumerate(points)]
+    return spark.createDataFrame(rows, "request_id string, idx int, id string, lat double, lng double, demand double")
+
+
+def options(spark, *rows):
+    return spark.createDataFrame(list(rows), "request_id string, vehicle_count int, capacity double, closed boolean, start_index int, average_speed_kmh double")
+
+
+def test_optimize_routes(spark):
+    points = [(float(a), float(x), 1.0) for a, x in random_points(4, 12)]
+    requests = {"a": points, "b": points[:3], "none": [(0, 0, 0.0), (0, 1, 9.0)], "bad": points[:1]}
+    opts = options(spark, ("a", 3, None, True, 0, 40.0), ("b", 1, 1.0, True, 0, 40.0), ("none", 1, 5.0, True, 0, 40.0), ("bad", 1, None, True, 0, 40.0))
+    routes = r.optimize_routes(frame(spark, requests), opts).cache()
+    got = {(x.request_id, x.vehicle_id): x for x in routes.collect()}
+    lat, lng = np.array([p[0] for p in points]), np.array([p[1] for p in points])
+    want = r.solve_vrp(r.Stops(lat, lng, np.ones(12), *([np.full(12, np.nan)] * 3)), 3)
+    assert [[s["index"] for s in got["a", v].stops] for v in range(3)] == [[s["index"] for s in x["stops"]] for x in want["routes"]]
+    assert got["a", 0].stops[0]["id"] == "s0" and got["a", 0].distance_km == pytest.approx(want["routes"][0]["distance_km"], abs=5e-4)
+    assert len(got["b", 0].unassigned) == 1 and got["none", None].unassigned == [1]
+    assert got["bad", None].error == "VRP requires at least two waypoints"
+    summary = {x.request_id: x for x in r.route_summary(routes).collect()}
+    assert summary["a"].feasible and not summary["b"].feasible and summary["none"].total_distance_km == 0
+
+
+def test_road_costs_are_used(spark):
+    requests = {"a": [(0, 0, None), (0, 1, None), (0, 2, None)]}
+    km = [[0, 10, 20], [10, 0, 15], [20, 15, 0]]
+    minutes = [[0, 12, 24], [12, 0, 18], [24, 18, 0]]
+    costs = spark.createDataFrame([("a", i, j, float(km[i][j]), float(minutes[i][j])) for i in range(3) for j in range(3)], "request_id string, i int, j int, km double, min double")
+    row = r.optimize_routes(frame(spark, requests), options(spark, ("a", 1, None, True, 0, 40.0)), costs).first()
+    assert (row.distance_km, row.duration_min, row.distance_source) == (45, 54, "table")
+
+
+def test_sweep_and_assignment_agree_with_the_kernel(spark):
+    rows = []
+    for g in range(6):
+        rows += [(g, i, float(a), float(x)) for i, (a, x) in enumerate(random_points(g + 1, 9) * [40, 170] - [40, 170])]
+    df = spark.createDataFrame(rows, "g int, i int, lat double, lng double")
+    order = r.sweep_order(df, "g", "i", F.col("i") == 0)
+    vehicles = {(x.g, x.i): x.vehicle_id for x in r.assign_even(order, "g", 3).collect()}
+    for g in range(6):
+        own = np.array([(a, x) for k, _, a, x in rows if k == g])
+        s = stops(own)
+        assert [x.i for x in order.where(F.col("g") == g).orderBy("seq").collect()] == r.sweep(s, 0)
+        groups, _ = r.assign(s, 0, 3, None)
+        assert {i: vehicles[g, i] for i in range(1, 9)} == {i: v for v, t in enumerate(groups) for i in t[1:]}
+
+
+def test_schedule_orders(spark):
+    visits = spark.createDataFrame(
+        [("a", 0, 9.0, 5.0, None, 1.0), ("a", 1, 10.0, None, 12.0, None), ("a", 2, 4.0, 30.0, None, 2.0)],
+        "k string, seq int, leg_min double, ready_min double, due_min double, service_min double",
+    )
+    found = [tuple(x)[1:] for x in r.schedule_orders(visits, "k").orderBy("seq").collect()]
+    assert found == [(0, 0, 5, 6, 0), (1, 16, 0, 16, 4), (2, 20, 10, 32, 0)]

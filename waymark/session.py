@@ -25,3 +25,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read it from there: a lost executor costs no recomputation."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Bytes of a batch handed to a Python worker, unless the session sets its own.
+BATCH_BYTES = "8m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hand long texts to Python workers in batches of a few MB, whatever their number of rows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, "67108864b"):
+        spark.conf.set(key, BATCH_BYTES)
