@@ -245,3 +245,16 @@ def test_config():
         load_config({"OSRM_URL": "ftp://x", "HTTP_RETRIES": "9"})
     with pytest.raises(ServiceError, match="GEOCODING_API_KEY is required"):
         load_config({"GEOCODING_PROVIDER": "google"})
+
+
+def test_log_lines():
+    import io
+
+    from waymark.logs import get_logger
+
+    out = io.StringIO()
+    log = get_logger("warn", out)
+    log.info("hidden")
+    log.warning("retry", extra={"fields": {"url": "http://h?key=S", "attempt": 1}})
+    line = json.loads(out.getvalue())
+    assert (line["level"], line["msg"], line["url"], line["attempt"]) == ("warn", "retry", "http://h?key=REDACTED", 1)

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.errors import CLUSTER_FAIL, DomainError, as_service_error
@@ -19,7 +19,7 @@ from waymark.functions.geo import (
     spherical_mean,
 )
 from waymark.functions.rng import Mulberry32
-from waymark.operators.components import connected_components
+from waymark.operators.components import connected_components, dense_numbers
 from waymark.operators.proximity import range_join
 from waymark.session import cut_lineage
 
@@ -170,8 +170,7 @@ def large_dbscan(points: DataFrame, key: str, eps_km: float, min_pts: int = DEFA
     core_b = core.withColumnRenamed("a", "b")
     links = pairs.where("a < b").join(core, "a").join(core_b, "b").select("a", "b")
     parts = core.join(connected_components(links).withColumnRenamed("node", "a"), "a", "left").select("a", F.coalesce("component", "a").alias("component"))
-    # numbers of clusters, not of points, pass through one window
-    numbers = parts.select("component").distinct().withColumn("label", (F.row_number().over(Window.orderBy("component")) - 1).cast("int"))
+    numbers = dense_numbers(parts, "component", "label").withColumn("label", F.col("label").cast("int"))
     numbered = parts.join(numbers, "component").select("a", "label")
     border = pairs.join(core, "a", "left_anti").join(numbered.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("label"))
     found = numbered.unionByName(border)

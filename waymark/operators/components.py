@@ -6,7 +6,7 @@ row per key, so a hub never has to fit into one task: adaptive execution may spl
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.session import cut_lineage
@@ -48,3 +48,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
             )
         seen = mark
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def dense_numbers(values: DataFrame, column: str, into: str = "number") -> DataFrame:
+    """The different values of a column with their ranks from 0, without sorting them in one task.
+
+    Values are dealt out by range; each range numbers its own, behind the counts of the ranges before it. Those counts,
+    one a partition, are all that comes to the driver.
+    """
+    ranged = cut_lineage(values.select(column).distinct().repartitionByRange(column).withColumn("_part", F.spark_partition_id()))
+    sizes = sorted((r["_part"], r["n"]) for r in ranged.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    before, offsets = 0, []
+    for part, n in sizes:
+        offsets.append((part, before))
+        before += n
+    table = values.sparkSession.createDataFrame(offsets, "_part int, _before long")
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(column))
+    return ranged.join(F.broadcast(table), "_part").select(column, (F.col("_before") + own - 1).alias(into))
