@@ -29,35 +29,39 @@ def lng_window(points: DataFrame, key: str) -> DataFrame:
     """The smallest arc that holds all longitudes of a group: ``(key, west, east, crosses)``.
 
     The arc leaves out the widest gap between neighbouring longitudes; of equally wide ones the gap at the antimeridian,
-    then the westernmost. Gaps are sought within strips first and then between the ends of the strips, so that no task
-    sorts all points of a large group.
+    then the westernmost.
     """
-    lngs = points.select(key, normalize_lng("lng").alias("x")).withColumn("strip", F.floor((F.col("x") + 180.0) / 360.0 * STRIPS))
-    inner = Window.partitionBy(key, "strip").orderBy("x")
-    steps = lngs.distinct().withColumn("before", F.lag("x").over(inner))
+    return bounding_box(points, key).select(key, F.col("min_lng").alias("west"), F.col("max_lng").alias("east"), "crosses")
+
+
+def bounding_box(points: DataFrame, key: str) -> DataFrame:
+    """``(key, min_lat, min_lng, max_lat, max_lng, crosses)``; a box across the antimeridian has min_lng > max_lng.
+
+    Gaps of longitudes are sought within strips first and then between the ends of the strips, so that no task sorts all
+    points of a large group; the latitudes travel along.
+    """
+    lngs = points.select(key, "lat", normalize_lng("lng").alias("x")).withColumn("strip", F.floor((F.col("x") + 180.0) / 360.0 * STRIPS))
+    lngs = lngs.groupBy(key, "strip", "x").agg(F.min("lat").alias("south"), F.max("lat").alias("north"))
     gap = lambda low, high: F.struct((high - low).alias("gap"), high.alias("to"), low.alias("before"))
     rank = lambda g: F.when(F.col(f"{g}.gap").isNotNull(), F.struct(F.col(f"{g}.gap"), -F.col(f"{g}.to")))
-    strips = (
-        steps.withColumn("g", gap(F.col("before"), F.col("x"))).groupBy(key, "strip")
-        .agg(F.min("x").alias("low"), F.max("x").alias("high"), F.max_by("g", rank("g")).alias("widest"))
-    )
-    between = strips.withColumn("before", F.lag("high").over(Window.partitionBy(key).orderBy("strip")))
-    gaps = between.select(key, "low", "high", F.explode(F.array(F.col("widest"), gap(F.col("before"), F.col("low")))).alias("g"))
-    best = gaps.groupBy(key).agg(F.min("low").alias("first"), F.max("high").alias("last"), F.max_by("g", rank("g")).alias("g"))
+    inner = Window.partitionBy(key, "strip").orderBy("x")
+    strips = lngs.withColumn("g", gap(F.lag("x").over(inner), F.col("x"))).groupBy(key, "strip").agg(
+        F.min("x").alias("low"), F.max("x").alias("high"), F.max_by("g", rank("g")).alias("widest"), F.min("south").alias("south"), F.max("north").alias("north")
+    )
+    outer = Window.partitionBy(key).orderBy("strip")
+    both = strips.withColumn("g", gap(F.lag("high").over(outer), F.col("low"))).withColumn(
+        "g", F.when(F.coalesce(rank("widest") > rank("g"), rank("g").isNull()), F.col("widest")).otherwise(F.col("g"))
+    )
+    best = both.groupBy(key).agg(
+        F.min("low").alias("first"), F.max("high").alias("last"), F.max_by("g", rank("g")).alias("g"), F.min("south").alias("min_lat"), F.max("north").alias("max_lat")
+    )
     crosses = F.coalesce(F.col("g.gap") > F.col("first") + 360.0 - F.col("last"), F.lit(False))
     return best.select(
-        key, F.when(crosses, F.col("g.to")).otherwise(F.col("first")).alias("west"),
-        F.when(crosses, F.col("g.before")).otherwise(F.col("last")).alias("east"), crosses.alias("crosses"),
+        key, "min_lat", F.when(crosses, F.col("g.to")).otherwise(F.col("first")).alias("min_lng"),
+        "max_lat", F.when(crosses, F.col("g.before")).otherwise(F.col("last")).alias("max_lng"), crosses.alias("crosses"),
     )
 
 
-def bounding_box(points: DataFrame, key: str) -> DataFrame:
-    """``(key, min_lat, min_lng, max_lat, max_lng, crosses)``; a box across the antimeridian has min_lng > max_lng."""
-    lats = points.groupBy(key).agg(F.min("lat").alias("min_lat"), F.max("lat").alias("max_lat"))
-    arcs = lng_window(points, key)
-    return lats.join(arcs, key).select(key, "min_lat", F.col("west").alias("min_lng"), "max_lat", F.col("east").alias("max_lng"), "crosses")
-
-
 def hull_indices(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Corners of the convex hull of distinct points, counter-clockwise from the least (x, y); points on an edge are no
     corners."""
