@@ -69,6 +69,8 @@ def test_odd_tables(spark):
     assert len(mixing.mix(docs, {None: 3, "s1": 2, "unused": 9}).collect()) == docs.count()
     with pytest.raises(ValueError):
         mixing.mix(docs, {"s1": 0})
+    with pytest.raises(ValueError):
+        mixing.mix(docs, {"s1": mixing.MAX_SLOTS, "s2": 1})
 
 
 def test_number_of_sources_is_checked(spark, monkeypatch):

@@ -20,6 +20,8 @@ QUANTUM = 1000
 TEMPER = 0.5
 #: Most sources that can be mixed; more are an error, not a slower plan.
 MAX_SOURCES = 4096
+#: Most that given weights may add up to: the length of the schedule.
+MAX_SLOTS = 65_536
 #: Hex digits that name the parts that each source's rows are numbered in, so that a large source is not one task's work.
 PART_DIGITS = 2
 
@@ -95,8 +97,8 @@ def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, id_col: s
     if weights is None:
         table = default_weights(docs, source_col)
     else:
-        if any(w < 1 for w in weights.values()):
-            raise ValueError("weights must be positive integers")
+        if any(w < 1 for w in weights.values()) or sum(weights.values()) > MAX_SLOTS:
+            raise ValueError(f"weights must be positive integers that add up to {MAX_SLOTS} at most")
         given = docs.sparkSession.createDataFrame([("null" if k is None else f"={k}", w) for k, w in weights.items()], "key string, w long")
         table = docs.select(_key(F.col(source_col)).alias("key")).distinct().join(F.broadcast(given), "key", "left").select("key", F.coalesce("w", F.lit(1)).alias("w"))
     names = [c for c in docs.columns if c != "mix"]

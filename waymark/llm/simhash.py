@@ -24,8 +24,9 @@ from waymark.session import cut_lineage
 
 SHINGLE = 3
 RADIUS = 3
-#: Distinct fingerprints that a prefix of the trie should hold on average.
-LEAVES = 16_384
+#: Distinct fingerprints that a prefix of the trie should hold on average. Each more bit of prefix makes more pairs of
+#: prefixes that a fingerprint goes to (8 at 3 bits, 64 at 7), so prefixes are kept as short as a task's memory allows.
+LEAVES = 131_072
 #: Pairs of nodes that are advanced at once.
 FRONT = 1 << 19
 
