@@ -509,33 +509,42 @@ def path_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- lines and GeoJSON ---------------------------------------------------------------------------------------------
 
 TOLERANCE_KM = 2000.5
+#: A user's events, in order of time, make lines of at most so many points.
+LINE_POINTS = 50
 
 
 @query(f"""
-with recursive p as (select user_id, event_id, cast(row_number() over (partition by user_id order by ts, event_id) - 1 as integer) as i, lat, lng
+with recursive e as (select user_id, event_id, cast(row_number() over (partition by user_id order by ts, event_id) - 1 as integer) as r, lat, lng
   from {_points_sql('events', 'event_id', 'user_id', 'ts')}),
-n as (select user_id, max(i) as last from p group by user_id),
-d as (select a.user_id, a.i, b.i as j, {sql_km('a.lat', 'a.lng', 'b.lat', 'b.lng')} as km from p a join p b on a.user_id = b.user_id),
-h as (select s.user_id, s.i as a, s.j as b, x.j as m, s.km as base, x.km as l, y.km as r, (s.km + x.km + y.km)/2 as h
-  from d s join d x on x.user_id = s.user_id and x.i = s.i and x.j > s.i and x.j < s.j join d y on y.user_id = s.user_id and y.i = s.j and y.j = x.j where s.i < s.j),
-f as (select user_id, a, b, m, case when base = 0 then l else 2*sqrt(greatest(0.0e0, h*(h - base)*(h - l)*(h - r)))/base end as far from h),
-split as (select user_id, a, b, m from (select *, row_number() over (partition by user_id, a, b order by far desc, m) as n from f) where n = 1 and far > {TOLERANCE_KM}e0),
-r(user_id, a, b) as (
-  select user_id, 0, last from n
-  union all select r.user_id, case when side = 0 then r.a else m end, case when side = 0 then m else r.b end
-  from r join split s on s.user_id = r.user_id and s.a = r.a and s.b = r.b cross join (values (0), (1)) as t(side)),
-kept as (select user_id, a as i from r union select user_id, b from r)
-select p.user_id, event_id from kept join p on p.user_id = kept.user_id and p.i = kept.i
+p as (select user_id*100000 + r // {LINE_POINTS} as line, user_id, event_id, r % {LINE_POINTS} as i, lat, lng from e),
+n as (select line, max(i) as last from p group by line),
+d as (select a.line, a.i, b.i as j, {sql_km('a.lat', 'a.lng', 'b.lat', 'b.lng')} as km from p a join p b on a.line = b.line),
+h as (select s.line, s.i as a, s.j as b, x.j as m, s.km as base, x.km as l, y.km as r, (s.km + x.km + y.km)/2 as h
+  from d s join d x on x.line = s.line and x.i = s.i and x.j > s.i and x.j < s.j join d y on y.line = s.line and y.i = s.j and y.j = x.j where s.i < s.j),
+f as (select line, a, b, m, case when base = 0 then l else 2*sqrt(greatest(0.0e0, h*(h - base)*(h - l)*(h - r)))/base end as far from h),
+split as (select line, a, b, m from (select *, row_number() over (partition by line, a, b order by far desc, m) as n from f) where n = 1 and far > {TOLERANCE_KM}e0),
+r(line, a, b) as (
+  select line, 0, last from n
+  union all select r.line, case when side = 0 then r.a else m end, case when side = 0 then m else r.b end
+  from r join split s on s.line = r.line and s.a = r.a and s.b = r.b cross join (values (0), (1)) as t(side)),
+kept as (select line, a as i from r union select line, b from r)
+select user_id, event_id from kept join p on p.line = kept.line and p.i = kept.i
 """)
 def simplify_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of each user that line simplification keeps."""
+    """Events that the simplification of their line keeps."""
     import pandas as pd
 
     def kept(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
+        pdf = pdf.sort_values("r")
         return pdf.iloc[kept_by_simplification(pdf["lat"].to_numpy(), pdf["lng"].to_numpy(), TOLERANCE_KM)][["user_id", "event_id"]]
 
-    return points(table(spark, sf_dir, "events"), "event_id", "user_id", "ts").groupBy("user_id").applyInPandas(kept, "user_id long, event_id long")
+    return _event_lines(spark, sf_dir).groupBy("user_id", "line").applyInPandas(kept, "user_id long, event_id long")
+
+
+def _event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(table(spark, sf_dir, "events"), "event_id", "user_id", "ts")
+    p = p.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1)
+    return p.withColumn("line", F.floor(F.col("r") / LINE_POINTS))
 
 
 _LINES = """'{"type":"' || case when c_custkey % 7 = 0 then 'Curve' else 'LineString' end || '","coordinates":[[0,' || cast(c_custkey % 120 as varchar(20)) || '],['
@@ -553,16 +562,13 @@ def geojson_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("c_custkey", "v.valid", F.size("v.errors").alias("n_errors"))
 
 
-def _user_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = points(table(spark, sf_dir, "events"), "event_id", "user_id", "ts")
-    lines = p.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "lng", "lat"))).alias("p"))
-    body = F.array_join(F.transform("p", lambda x: F.concat(F.lit("["), x["lng"].cast("string"), F.lit(","), x["lat"].cast("string"), F.lit("]"))), ",")
-    return lines.select("user_id", F.concat(F.lit('{"type":"LineString","coordinates":['), body, F.lit("]}")).alias("geojson"))
-
-
 @query()
 def geojson_simplify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _user_lines(spark, sf_dir).select("user_id", simplify_column("geojson", TOLERANCE_KM).alias("s")).select("user_id", "s.geojson", "s.error")
+    """The same lines as GeoJSON text."""
+    listed = _event_lines(spark, sf_dir).groupBy("user_id", "line").agg(F.array_sort(F.collect_list(F.struct("r", "lng", "lat"))).alias("p"))
+    body = F.array_join(F.transform("p", lambda x: F.concat(F.lit("["), x["lng"].cast("string"), F.lit(","), x["lat"].cast("string"), F.lit("]"))), ",")
+    lines = listed.select("user_id", "line", F.concat(F.lit('{"type":"LineString","coordinates":['), body, F.lit("]}")).alias("geojson"))
+    return lines.select("user_id", "line", simplify_column("geojson", TOLERANCE_KM).alias("s")).select("user_id", "line", "s.geojson", "s.error")
 
 
 @query("select s_nationkey, cast(count(*) as integer) as n_features from supplier group by s_nationkey")
