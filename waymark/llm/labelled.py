@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.session import cut_lineage
+
 FOLDS = 5
 #: Folds for fitting and for calibration; fold 0 is held out.
 FIT_FOLDS = (1, 2, 3)
@@ -29,6 +31,15 @@ def sample_ids(ids: DataFrame, rows: int, seed: int = 7) -> DataFrame:
     return ids.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(rows)
 
 
+def with_texts(docs: DataFrame, fitting: list[tuple], checking: list[tuple], id_col: str, text_col: str) -> DataFrame:
+    """``(label, fitting, text)`` of the documents of two bounded lists of (id, label), fetched in one scan and written to
+    the checkpoint folder, so that neither use scans the corpus again."""
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, label int, fitting boolean"
+    wanted = docs.sparkSession.createDataFrame([(*x, True) for x in fitting] + [(*x, False) for x in checking], schema)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return cut_lineage(rows.join(F.broadcast(wanted), "id").select("label", "fitting", "text"))
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
     """Weights of a ridge-penalised logistic regression on standardised columns, as (mean, scale, weights) rows.
 

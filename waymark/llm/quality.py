@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.labelled import CALIBRATION_FOLD, FIT_FOLDS, fit_logistic, fold, labelled_ids, predict, sample_ids
+from waymark.llm.labelled import CALIBRATION_FOLD, FIT_FOLDS, fit_logistic, fold, labelled_ids, predict, sample_ids, with_texts
 from waymark.llm.textbytes import text_bytes
 
 BLOCK = 2048
@@ -95,22 +95,17 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     ids = labelled_ids(labels, label_col, id_col)
     fitting = ids.where(F.col("fold").isin(*FIT_FOLDS))
     chosen = sample_ids(fitting.where("label = 1"), ROWS_PER_CLASS).unionByName(sample_ids(fitting.where("label = 0"), ROWS_PER_CLASS))
-    spark = docs.sparkSession
     # at most 2 * ROWS_PER_CLASS and CALIBRATION_ROWS ids
     picked = [(r["id"], r["label"]) for r in chosen.collect()]
     checked = [(r["id"], r["label"]) for r in sample_ids(ids.where(F.col("fold") == CALIBRATION_FOLD), CALIBRATION_ROWS).collect()]
-    schema = f"id {labels.schema[id_col].dataType.simpleString()}, label int"
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-
-    def of(pairs: list[tuple]) -> DataFrame:
-        return rows.join(F.broadcast(spark.createDataFrame(pairs, schema)), "id")
+    sample = with_texts(docs, picked, checked, id_col, text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [(label, x) for label, t in zip(batch.column("label").to_pylist(), text_bytes(batch.column("text"))) for x in _spread(t)]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=["label", "block"])
 
-    blocks = of(picked).select("label", "text").mapInArrow(cut, "label int, block binary").orderBy("label", "block").toArrow()
+    blocks = sample.where("fitting").select("label", "text").mapInArrow(cut, "label int, block binary").orderBy("label", "block").toArrow()
     of_label, block = blocks.column("label").to_pylist(), blocks.column("block").to_pylist()
     good, bad = (_dictionary([bytes(x) for k, x in zip(of_label, block) if k == want]) for want in (1, 0))
 
@@ -121,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
             found = np.array([sizes(t, g, b) for t in texts], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array([len(t) for t in texts], pa.int64())], names=["label", "g", "b", "n"])
 
-    seen = of(checked).select("label", "text").mapInArrow(measure, "label int, g long, b long, n long").orderBy("n", "g", "b", "label").toPandas()
+    seen = sample.where("not fitting").select("label", "text").mapInArrow(measure, "label int, g long, b long, n long").orderBy("n", "g", "b", "label").toPandas()
     x = features(*(seen[c].to_numpy(np.float64) for c in ("g", "b", "n")))
     return QualityModel(good, bad, fit_logistic(x, seen["label"].to_numpy(np.float64), ridge=1.0))
 
