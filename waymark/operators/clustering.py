@@ -63,7 +63,11 @@ def kmeans_labels(lat: np.ndarray, lng: np.ndarray, k: int, seed: int = DEFAULT_
     if not len(lat):
         raise DomainError("EMPTY", "kmeans requires at least one point")
     different = len(np.unique(np.column_stack((lat, np_normalize_lng(lng))), axis=0))
-    centers = seed_centers(lat, lng, min(k, different), Mulberry32(seed))
+    return np.unique(_settled(lat, lng, seed_centers(lat, lng, min(k, different), Mulberry32(seed)), rounds)[1], return_inverse=True)[1]
+
+
+def _settled(lat: np.ndarray, lng: np.ndarray, centers: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centres moved to the means of their points until no point changes its centre, and the centre of each point."""
     label = _to_centers(lat, lng, centers).argmin(axis=1)
     for _ in range(rounds):
         for c in range(len(centers)):
@@ -73,7 +77,7 @@ def kmeans_labels(lat: np.ndarray, lng: np.ndarray, k: int, seed: int = DEFAULT_
         before, label = label, _to_centers(lat, lng, centers).argmin(axis=1)
         if np.array_equal(before, label):
             break
-    return np.unique(label, return_inverse=True)[1]
+    return centers, label
 
 
 def dbscan_labels(lat: np.ndarray, lng: np.ndarray, eps_km: float, min_pts: int = DEFAULT_MIN_PTS) -> np.ndarray:
@@ -180,19 +184,22 @@ def large_dbscan(points: DataFrame, key: str, eps_km: float, min_pts: int = DEFA
 def large_kmeans(points: DataFrame, key: str, k: int, seed: int = DEFAULT_SEED, rounds: int = MAX_ROUNDS) -> tuple[DataFrame, list[tuple[float, float]]]:
     """``(key, cluster_id)`` of a table of any size, and the centres.
 
-    Seeds are drawn from at most ``SEED_SAMPLE`` points (least hash of the key first, then by key; a table no larger than
-    that gives the seeds of ``kmeans_labels``). A round assigns each point by an expression over the centres and averages by
+    Seeds are drawn from at most ``SEED_SAMPLE`` points (least hash of the key first, then by key; a smaller table is
+    settled on the driver, as by ``kmeans_labels``). Otherwise a round assigns each point by an expression over the centres and averages by
     one aggregation with map-side sums; k rows come to the driver.
     """
     if k < 1:
         raise DomainError("INVALID_K", "k must be at least 1")
-    rows = points.select(key, "lat", "lng")
-    sample = rows.orderBy(F.xxhash64(key), key).limit(SEED_SAMPLE).toPandas().sort_values(key)
+    rows = points.select(key, "lat", "lng").persist()
+    sample = rows.where("lat is not null and lng is not null").orderBy(F.xxhash64(key), key).limit(SEED_SAMPLE).toPandas().sort_values(key)
     if not len(sample):
         raise DomainError("EMPTY", "kmeans requires at least one point")
     lat, lng = sample["lat"].to_numpy(np.float64), sample["lng"].to_numpy(np.float64)
     different = len(np.unique(np.column_stack((lat, np_normalize_lng(lng))), axis=0))
-    centers = [tuple(map(float, c)) for c in seed_centers(lat, lng, min(k, different), Mulberry32(seed))]
+    start = seed_centers(lat, lng, min(k, different), Mulberry32(seed))
+    if len(sample) < SEED_SAMPLE:  # the whole table
+        start, rounds = _settled(lat, lng, start, rounds)[0], 0
+    centers = [tuple(map(float, c)) for c in start]
     mean = spherical_mean("lat", "lng")
 
     def assigned(now: list[tuple[float, float]]) -> DataFrame:
@@ -205,6 +212,7 @@ def large_kmeans(points: DataFrame, key: str, k: int, seed: int = DEFAULT_SEED,
         if max(abs(a - b) for x, y in zip(new, centers) for a, b in zip(x, y)) < 1e-9:
             break
         centers = new
+    rows.unpersist()
     used = sorted(r["cluster_id"] for r in assigned(centers).select("cluster_id").distinct().collect())
     number = F.array_position(F.array(*map(F.lit, used)), F.col("cluster_id")).cast("int") - 1
     return assigned(centers).select(key, number.alias("cluster_id")), [centers[i] for i in used]
