@@ -224,8 +224,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row of ``docs`` for each group of near-duplicates: that of the smallest id, of rows that repeat it the one of
     the least hash of its text. Rows without an id stay. The texts are shuffled once, to meet the rows to keep."""
+    return keep_lowest(docs, groups(docs, id_col, text_col, radius), id_col, text_col)
+
+
+def keep_lowest(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows that ``representatives`` keeps of the groups ``(id, mark, component, component_id)``."""
     kept = (
-        groups(docs, id_col, text_col, radius).where("id = component_id").groupBy("component").agg(F.min(F.struct("id", "mark")).alias("k"))
+        grouped.where("id = component_id").groupBy("component").agg(F.min(F.struct("id", "mark")).alias("k"))
         .select(F.col("k.id").alias("_id"), F.col("k.mark").alias("_mark")).distinct()
     )
     # the row in one struct, so that no column of the caller's can clash with those of the join
