@@ -110,3 +110,17 @@ def test_tokens(stages):
 def test_run(spark, stages):
     found = corpus_pipeline.run(spark, DATA)
     assert sorted(map(repr, found.collect())) == sorted(map(repr, stages["tokens"][1].collect()))
+
+
+def test_run_is_in_order_of_the_mixture(spark, stages, monkeypatch):
+    """Also when a scan reads the mixture's files in another order, the largest first."""
+    before, _, _ = stages["mixture"]
+    want = [(r.doc_id, r.mix.slot, r.mix.place) for r in mixing.mix(before).orderBy("mix.slot", "mix.place").collect()]
+
+    def shuffled(spark, docs, sf_dir):
+        return corpus_pipeline.mix_sources(spark, docs, sf_dir).repartition(7, "doc_id")
+
+    found = stages["tokens"][1]
+    assert sorted((r.doc_id, r.slot, r.place) for r in found.collect()) == sorted(want)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, shuffled if n == "mixture" else f) for n, f in corpus_pipeline.STAGES])
+    assert [(r.doc_id, r.slot, r.place) for r in corpus_pipeline.run(spark, DATA).collect()] == want
