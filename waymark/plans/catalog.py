@@ -509,7 +509,7 @@ def path_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- lines and GeoJSON ---------------------------------------------------------------------------------------------
 
 TOLERANCE_KM = 2000.5
-#: A user's events, in order of time, make lines of at most so many points.
+#: In the SQL of ``simplify_line``, a user's events, in order of time, make lines of at most so many points.
 LINE_POINTS = 50
 
 
@@ -538,13 +538,13 @@ def simplify_line(spark: SparkSession, sf_dir: str) -> DataFrame:
         pdf = pdf.sort_values("r")
         return pdf.iloc[kept_by_simplification(pdf["lat"].to_numpy(), pdf["lng"].to_numpy(), TOLERANCE_KM)][["user_id", "event_id"]]
 
-    return _event_lines(spark, sf_dir).groupBy("user_id", "line").applyInPandas(kept, "user_id long, event_id long")
+    lines = _event_lines(spark, sf_dir).withColumn("line", F.floor(F.col("r") / LINE_POINTS))
+    return lines.groupBy("user_id", "line").applyInPandas(kept, "user_id long, event_id long")
 
 
 def _event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(table(spark, sf_dir, "events"), "event_id", "user_id", "ts")
-    p = p.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1)
-    return p.withColumn("line", F.floor(F.col("r") / LINE_POINTS))
+    return p.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1)
 
 
 _LINES = """'{"type":"' || case when c_custkey % 7 = 0 then 'Curve' else 'LineString' end || '","coordinates":[[0,' || cast(c_custkey % 120 as varchar(20)) || '],['
@@ -564,8 +564,8 @@ def geojson_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def geojson_simplify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same lines as GeoJSON text."""
-    listed = _event_lines(spark, sf_dir).groupBy("user_id", "line").agg(F.array_sort(F.collect_list(F.struct("r", "lng", "lat"))).alias("p"))
+    """All events of a user as one line of GeoJSON text (number 0), simplified whole."""
+    listed = _event_lines(spark, sf_dir).groupBy("user_id", F.lit(0).cast("long").alias("line")).agg(F.array_sort(F.collect_list(F.struct("r", "lng", "lat"))).alias("p"))
     body = F.array_join(F.transform("p", lambda x: F.concat(F.lit("["), x["lng"].cast("string"), F.lit(","), x["lat"].cast("string"), F.lit("]"))), ",")
     lines = listed.select("user_id", "line", F.concat(F.lit('{"type":"LineString","coordinates":['), body, F.lit("]}")).alias("geojson"))
     return lines.select("user_id", "line", simplify_column("geojson", TOLERANCE_KM).alias("s")).select("user_id", "line", "s.geojson", "s.error")
