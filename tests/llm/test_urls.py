@@ -110,3 +110,22 @@ def test_odd_tables(spark):
 def test_no_python_in_the_plan(spark):
     plan = urls.judge(frame(spark, URLS))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_suffixes_are_counted_over_all_labels(spark, monkeypatch, small):
+    monkeypatch.setattr(urls, "ROWS_PER_CLASS", 10)
+    monkeypatch.setattr(urls, "SMALL", small)
+    seen = []
+
+    def spy(self, df):
+        seen.append({(r.suffix_count, r.suffix_rate) for r in df.select("suffix_count", "suffix_rate").collect()})
+        return fit(self, df)
+
+    fit = urls.GBTClassifier.fit
+    monkeypatch.setattr(urls.GBTClassifier, "fit", spy)
+    labels = spark.createDataFrame([(f"http://x{i}.a.com/p{i}", int(i % 4 == 0)) for i in range(200)], "url string, block int")
+    found = urls.judge(spark.createDataFrame([("http://new.com/x",)], "url string"), labels=labels).collect()
+    assert len(found) == 1
+    (one,) = seen
+    assert [(round(n, 9), round(r, 9)) for n, r in one] == [(round(math.log1p(200), 9), 0.25)]

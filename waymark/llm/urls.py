@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Labelled URLs of each class that the trees are trained on, at most.
 ROWS_PER_CLASS = 10_000
+#: Most suffixes whose statistics are broadcast; more are joined by a shuffle.
+SMALL = 100_000
 TREES, DEPTH, BINS, STEP = 12, 4, 32, 0.3
 
 
@@ -130,20 +132,22 @@ def judge(pages: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] = RULE
         train = train.withColumn(name, value.cast("double"))
         described = described.withColumn(f"_x_{name}", value.cast("double"))
     train = train.withColumn("_suffix", suffix(F.col("_host"))).cache()
-    sizes = {r["_block"]: r["n"] for r in train.groupBy("_block").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["_block"]: r["n"] for r in known.groupBy("_block").agg(F.count("*").alias("n")).collect()}
     trees: list[str] = []
     if len(sizes) == 2:
-        # at most as many rows as the sample has
+        # over all labelled URLs, not the sample alone
         share = sizes[1] / (sizes[0] + sizes[1])
-        rates = train.groupBy("_suffix").agg(F.count("*").alias("_n"), F.sum("_block").alias("_b")).select(
+        rates = known.withColumn("_suffix", suffix(F.col("_host"))).groupBy("_suffix").agg(F.count("*").alias("_n"), F.sum("_block").alias("_b")).select(
             "_suffix", F.log1p("_n").alias("suffix_count"), ((F.col("_b") + 8 * share) / (F.col("_n") + 8)).alias("suffix_rate")
-        )
+        ).cache()
+        if rates.count() <= SMALL:
+            rates = F.broadcast(rates)
         names = [*features(F.col("_url"), F.col("_host"), F.col("_path")), "suffix_count", "suffix_rate"]
-        vectors = VectorAssembler(inputCols=names, outputCol="features").transform(train.join(F.broadcast(rates), "_suffix"))
+        vectors = VectorAssembler(inputCols=names, outputCol="features").transform(train.join(rates, "_suffix"))
         model = GBTClassifier(labelCol="_block", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, maxBins=BINS, stepSize=STEP, seed=5).fit(vectors)
         trees = [f"{w!r}D * ({_as_sql(t._call_java('rootNode'), [f'_x_{x}' for x in names])})" for w, t in zip(map(float, model.treeWeights), model.trees)]
         described = (
-            described.withColumn("_suffix", suffix(F.col("_host"))).join(F.broadcast(rates), "_suffix", "left")
+            described.withColumn("_suffix", suffix(F.col("_host"))).join(rates, "_suffix", "left")
             .withColumn("_x_suffix_count", F.coalesce("suffix_count", F.lit(0.0))).withColumn("_x_suffix_rate", F.coalesce("suffix_rate", F.lit(share)))
         )
     constant = 1.0 if set(sizes) == {1} else -1.0
