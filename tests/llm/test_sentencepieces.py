@@ -63,6 +63,25 @@ def test_forgetting_changes_nothing(model, monkeypatch):
     assert encoded(s.Encoder(s.Vocabulary.parse(model)), lines) == library.encode(lines)
 
 
+def test_segments_of_one_hash_are_told_apart(model, monkeypatch):
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    one = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    lines = [one, one.translate(str.maketrans("ab", "ba")), *texts(6, 40)]
+    assert encoded(s.Encoder(s.Vocabulary.parse(model)), lines) == library.encode(lines)
+    monkeypatch.setattr(s.Remembering, "_names", lambda self, points, start, end: (end - start).astype(np.uint64) % np.uint64(3))
+    assert encoded(s.Encoder(s.Vocabulary.parse(model)), lines) == library.encode(lines)
+
+
+def test_pieces_are_compared(model, monkeypatch):
+    """Also where every hash is taken for a piece's."""
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    encoder = s.Encoder(s.Vocabulary.parse(model))
+    runs = encoder._runs
+    monkeypatch.setattr(encoder, "_runs", lambda points, *sizes: [encoder.keys[np.minimum(np.searchsorted(encoder.keys, h), len(encoder.keys) - 1)] for h in runs(points, *sizes)])
+    lines = texts(8, 40)
+    assert encoded(encoder, lines) == library.encode(lines)
+
+
 def test_long_segments_take_the_same_path(model, monkeypatch):
     lines = texts(7, 80)
     usual = encoded(s.Encoder(s.Vocabulary.parse(model)), lines)

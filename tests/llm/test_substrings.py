@@ -87,6 +87,27 @@ def test_automaton():
         assert automaton.matching(text) == want
 
 
+def test_passages_that_differ_in_one_regular_word(spark):
+    """Words that a polynomial hash modulo 2**64 cannot tell apart."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    other = one.translate(str.maketrans("ab", "ba"))
+    around = [f"w{i}" for i in range(50)]
+    texts = [" ".join(around[:25] + [x] + around[25:]) for x in (one, other, one)]
+    rows = list(enumerate(texts))
+    assert got(frame(spark, rows)) == brute(rows) and [r[2] for r in got(frame(spark, rows))] == [0, 0, 51]
+    assert {r.doc_id: r.text for r in s.remove(frame(spark, rows)).collect()} == {0: texts[0], 1: texts[1], 2: ""}
+
+
+def test_anchors_of_one_rule(monkeypatch):
+    """Spans of any length give the same anchors."""
+    rng = random.Random(2)
+    text = " ".join(rng.choice("abcde") for _ in range(3000)).encode()
+    want = s.Windows(s.Words([text]))
+    monkeypatch.setattr(s, "SPAN", 7)
+    found = s.Windows(s.Words([text]))
+    assert (found.anchor == want.anchor).all() and (found.hash == want.hash).all() and len(want.start) == 2951
+
+
 def test_odd_tables(spark):
     assert got(frame(spark, [])) == []
     rows = corpus(8, 20)

@@ -37,15 +37,29 @@ def test_xxh64_of_any_length():
     assert tb.xxh64(buf, start, end).tolist() == want
 
 
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() % 2] for i in range(n))
+
+
 def test_window_hashes_and_sliding():
-    h = np.array([1, 2, 3, 1, 2, 3, 4], np.uint64)
-    w = tb.window_hashes(h, 3)
-    assert w[0] == w[3] and len(set(w.tolist())) == 4
-    assert len(tb.window_hashes(h, 9)) == 0
+    h = np.array([1, 2, 3, 1, 2, 3, 4] * 12, np.uint64)
+    widths = [1, 2, 3, 5, 12, 50, 64, 83, 84, 85, 99]
+    for width, w in zip(widths, tb.window_hashes(h, *widths)):
+        runs = [tuple(h[i : i + width].tolist()) for i in range(len(h) - width + 1)]
+        assert len(w) == len(runs) and len(set(zip(runs, w.tolist()))) == len(set(runs)) == len(set(w.tolist()))
+    assert len(tb.window_hashes(h[:0], 9)[0]) == 0
     for width in range(1, 8):
         assert tb.sliding(h, width, np.minimum).tolist() == [min(h[i : i + width]) for i in range(len(h) - width + 1)]
 
 
+def test_regular_sequences_do_not_collide():
+    one = thue_morse(2048)
+    other = one.translate(str.maketrans("ab", "ba"))
+    assert len(set(tb.Words([one.encode(), other.encode()]).hashes().tolist())) == 2
+    h = [tb.Words([" ".join(x).encode()]).hashes() for x in (one, other)]
+    assert tb.window_hashes(h[0], 2048)[0] != tb.window_hashes(h[1], 2048)[0]
+
+
 def test_pieces_cover_all_rows():
     column = pa.array(["a" * n for n in (0, 5, 100, 1, 0)] + [None])
     got = list(tb.text_pieces(column, 20))

@@ -3,7 +3,8 @@
 Texts become code points and are cut into segments that no piece can span: before a space mark that follows another
 character, and around characters that occur in no piece of several characters. Distinct segments of equal length
 advance together, one position at a time: hashes of the substrings that end there probe the sorted piece keys, the
-best candidate of each segment is kept, and its length is stored as a backpointer.
+best candidate of each segment is kept, and its length is stored as a backpointer. Hashes only propose: where a piece
+or a segment met before is found by one, its code points are compared.
 
 What is best depends on the model. A unigram model maximises the sum of piece scores. A BPE model has no scores to
 add, but its result is a Viterbi path all the same: each prefix of a BPE encoding ending at a piece border is itself
@@ -26,15 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructType
 
-from waymark.llm.textbytes import mix, powers, text_pieces
+from waymark.llm.textbytes import mix, text_pieces, window_hashes, xxh64
 
 MARK = "▁"
 #: Bytes of text that are handled at once.
 PIECE_BYTES = 1 << 20
 #: Segments longer than this are walked one by one.
 LONG = 64
-#: Segments whose pieces a task remembers.
+#: Segments whose pieces a task remembers, and code points of all of them.
 REMEMBERED = 1 << 19
+REMEMBERED_POINTS = 1 << 23
+#: Code points of new segments that are looked up at once.
+LOOKED_UP = 1 << 17
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
@@ -102,13 +106,21 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _hash_sums(points: np.ndarray) -> np.ndarray:
-    up, _ = powers(len(points))
-    return np.concatenate((np.zeros(1, np.uint64), np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)])))
+def _ramps(sizes: np.ndarray) -> np.ndarray:
+    """0, 1 ... size - 1 for each size, one after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
 
 
-def _hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix((sums[end] - sums[start]) * powers(len(sums))[1][start])
+def _same_runs(one: np.ndarray, start: np.ndarray, size: np.ndarray, other: np.ndarray, other_start: np.ndarray, other_size: np.ndarray) -> np.ndarray:
+    """Whether each run of ``one`` equals its run of ``other``."""
+    out = size == other_size
+    at = np.flatnonzero(out & (size > 0))
+    if len(at):
+        step, n = _ramps(size[at]), size[at]
+        equal = one[np.repeat(start[at], n) + step] == other[np.repeat(other_start[at], n) + step]
+        out[at] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+    return out
 
 
 class Encoder:
@@ -120,11 +132,18 @@ class Encoder:
         usable = [i for i in range(self.size) if v.kinds[i] in (NORMAL, USER_DEFINED) and v.pieces[i]]
         self.ids = {v.pieces[i]: i for i in usable}
         self.longest = max((len(v.pieces[i]) for i in usable), default=1)
-        points = _points("".join(v.pieces[i] for i in usable))
-        ends = np.cumsum([len(v.pieces[i]) for i in usable])
-        keys = _hash(_hash_sums(points), ends - [len(v.pieces[i]) for i in usable], ends) if usable else np.zeros(0, np.uint64)
-        order = np.argsort(keys)
-        self.keys, self.key_ids = keys[order], np.array(usable, np.int32)[order]
+        self.points = _points("".join(v.pieces[i] for i in usable))
+        self.width = np.zeros(self.size, np.int64)
+        self.width[usable] = [len(v.pieces[i]) for i in usable]
+        self.first = np.cumsum(self.width) - self.width
+        keys = np.zeros(self.size, np.uint64)
+        for n in range(1, self.longest + 1):
+            own = np.flatnonzero(self.width == n)
+            keys[own] = self._runs(self.points[(self.first[own][:, None] + np.arange(n)).ravel()], n)[::n] if len(own) else 0
+        order = np.array(usable, np.int32)[np.argsort(keys[usable])] if usable else np.zeros(0, np.int32)
+        self.keys, self.key_ids = keys[order], order
+        if len(np.unique(self.keys)) < len(usable):
+            raise ValueError("two pieces share a key")
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.keys >> np.uint64(44)).astype(np.int64)] = True
         # 0: stands in pieces of several characters, 1: alone or unknown, 2: space mark
@@ -142,6 +161,12 @@ class Encoder:
             self._merges()
         self.unknown_score = float(v.scores[usable].min()) - UNKNOWN_PENALTY if usable else -UNKNOWN_PENALTY
 
+    @staticmethod
+    def _runs(points: np.ndarray, *sizes: int) -> np.ndarray | list[np.ndarray]:
+        """Hashes of the runs of code points of each size."""
+        found = window_hashes(mix(points.astype(np.uint64) + np.uint64(1)), *sizes)
+        return found[0] if len(sizes) == 1 else found
+
     # -- BPE ------------------------------------------------------------------------------------------------------
 
     def _merges(self) -> None:
@@ -220,20 +245,29 @@ class Encoder:
 
     # -- Viterbi --------------------------------------------------------------------------------------------------
 
-    def _lookup(self, h: np.ndarray) -> np.ndarray:
-        """Ids of substrings by their hashes; -1 where there is no such piece."""
-        out = np.full(len(h), -1, np.int32)
-        maybe = np.flatnonzero(self.filter[(h >> np.uint64(44)).astype(np.int64)])
-        if len(maybe):
-            wanted = h[maybe]
-            at = np.searchsorted(self.keys, wanted)
-            at[at == len(self.keys)] = 0
-            hit = self.keys[at] == wanted
-            out[maybe[hit]] = self.key_ids[at[hit]]
+    def _lookup(self, points: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Ids of the pieces that start at each code point, one row a size; -1 where there is none of that size.
+
+        ``left``: how many code points there are from each on to the end of its segment.
+        """
+        out = np.full((self.longest + 1, len(points)), -1, np.int32)
+        for size, h in enumerate(self._runs(points, *range(1, self.longest + 1)) if self.longest > 1 else [self._runs(points, 1)], 1):
+            at = np.flatnonzero(self.filter[(h >> np.uint64(44)).astype(np.int64)] & (left[: len(h)] >= size))
+            place = np.searchsorted(self.keys, h[at])
+            place[place == len(self.keys)] = 0
+            hit = np.flatnonzero(self.keys[place] == h[at]) if len(self.keys) else place[:0]
+            at, piece = at[hit], self.key_ids[place[hit]]
+            same = self.width[piece] == size
+            for k in range(size):
+                same &= self.points[np.minimum(self.first[piece] + k, len(self.points) - 1)] == points[np.minimum(at + k, len(points) - 1)]
+            out[size, at[same]] = piece[same]
         return out
 
-    def _advance(self, sums: np.ndarray, start: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Last piece and its length for each prefix of segments of ``n`` characters: arrays (n + 1, segments)."""
+    def _advance(self, pieces: np.ndarray, start: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Last piece and its length for each prefix of segments of ``n`` characters: arrays (n + 1, segments).
+
+        ``pieces``: what ``_lookup`` found, ``start`` the columns of the segments in it.
+        """
         m = len(start)
         last, back = np.full((n + 1, m), self.size, np.int32), np.ones((n + 1, m), np.int8)
         best = np.zeros((n + 1, m)) if self.v.model == UNIGRAM else None
@@ -242,8 +276,7 @@ class Encoder:
                 best[i] = best[i - 1] + self.unknown_score
             open_ = np.arange(m)
             for size in range(min(i, self.longest), 0, -1):
-                s = start[open_] + (i - size)
-                piece = self._lookup(_hash(sums, s, s + size))
+                piece = pieces[size, start[open_] + (i - size)]
                 found = np.flatnonzero(piece >= 0)
                 if not len(found):
                     continue
@@ -302,30 +335,25 @@ class Encoder:
             i -= back[i]
         return out[::-1]
 
-    def segments(self, points: np.ndarray, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def segments(self, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of some segments, one after another, and how many each has."""
         size = end - start
         chunks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # segment, place from its end, id
+        for k in np.flatnonzero(size > LONG).tolist():
+            ids = np.array(self._long(points[start[k] : end[k]])[::-1], np.int64)
+            chunks.append((np.full(len(ids), k), np.arange(len(ids)), ids))
         order = np.argsort(size, kind="stable")
-        for own in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
-            if not len(own) or not (n := int(size[own[0]])):
+        order = order[(size[order] > 0) & (size[order] <= LONG)]
+        ends = np.cumsum(size[order])
+        for part in np.split(order, np.flatnonzero(np.diff(ends // LOOKED_UP)) + 1):
+            if not len(part):
                 continue
-            if n > LONG:
-                for k in own:
-                    ids = np.array(self._long(points[start[k] : end[k]])[::-1], np.int64)
-                    chunks.append((np.full(len(ids), k), np.arange(len(ids)), ids))
-                continue
-            last, back = self._advance(sums, start[own], n)
-            at, who, step = np.full(len(own), n), np.arange(len(own)), 0
-            while len(who):
-                ids = last[at, who].astype(np.int64)
-                unknown = ids == self.size
-                if unknown.any():
-                    ids[unknown] += points[start[own[who[unknown]]] + at[unknown] - 1]
-                chunks.append((own[who], np.full(len(who), step), ids))
-                at = at - back[at, who]
-                who, at = who[at > 0], at[at > 0]
-                step += 1
+            n = size[part]
+            step = _ramps(n)
+            own = points[np.repeat(start[part], n) + step]
+            pieces, first = self._lookup(own, np.repeat(n, n) - step), np.cumsum(n) - n
+            for same in np.split(np.arange(len(part)), np.flatnonzero(np.diff(n)) + 1):
+                self._together(pieces, own, first[same], part[same], int(n[same[0]]), chunks)
         if not chunks:
             return np.zeros(0, np.int32), np.zeros(len(start), np.int64)
         seg, place, ids = (np.concatenate(x) for x in zip(*chunks))
@@ -333,6 +361,20 @@ class Encoder:
         seg, ids = seg[by], ids[by]
         return self._spell(seg, ids, len(start))
 
+    def _together(self, pieces: np.ndarray, points: np.ndarray, first: np.ndarray, names: np.ndarray, n: int, chunks: list) -> None:
+        """The pieces of segments of ``n`` characters each, walked back from their ends, into ``chunks``."""
+        last, back = self._advance(pieces, first, n)
+        at, who, step = np.full(len(first), n), np.arange(len(first)), 0
+        while len(who):
+            ids = last[at, who].astype(np.int64)
+            unknown = ids == self.size
+            if unknown.any():
+                ids[unknown] += points[first[who[unknown]] + at[unknown] - 1]
+            chunks.append((names[who], np.full(len(who), step), ids))
+            at = at - back[at, who]
+            who, at = who[at > 0], at[at > 0]
+            step += 1
+
     def _spell(self, seg: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Unknown characters become the byte pieces of their UTF-8."""
         point = ids - self.size
@@ -357,6 +399,7 @@ class Remembering:
     def _forget(self) -> None:
         self.keys, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
+        self.at, self.size, self.points = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and how many each has."""
@@ -373,26 +416,45 @@ class Remembering:
         border[1:] = (kind[1:] == 1) | (kind[:-1] == 1) | ((kind[1:] == 2) & (kind[:-1] != 2))
         border[(ends - sizes)[sizes > 0]] = True
         start = np.flatnonzero(border)
-        end = np.append(start[1:], len(points))
-        sums = _hash_sums(points)
-        h = _hash(sums, start, end)
-        distinct, at, of = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.keys) + len(distinct) > REMEMBERED:
+        ids, count = self._segments(points, start, np.append(start[1:], len(points)))
+        before = np.concatenate(([0], np.cumsum(count)))
+        return ids, np.diff(before[np.searchsorted(start, np.concatenate(([0], ends)))])
+
+    def _segments(self, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of segments as ``Encoder.segments`` has them; equal segments are worked out once."""
+        size = end - start
+        h = self._names(points, start, end)
+        distinct, rep, of = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.keys) + len(distinct) > REMEMBERED or len(self.points) + int(size[rep].sum()) > REMEMBERED_POINTS:
             self._forget()
         place = np.searchsorted(self.keys, distinct)
         place[place == len(self.keys)] = 0
         new = np.flatnonzero(self.keys[place] != distinct) if len(self.keys) else np.arange(len(distinct))
         if len(new):
-            ids, count = self.e.segments(points, sums, start[at[new]], end[at[new]])
-            first = len(self.ids) + np.concatenate(([0], np.cumsum(count)[:-1]))
+            own = rep[new]
+            ids, count = self.e.segments(points, start[own], end[own])
+            first = len(self.ids) + np.cumsum(count) - count
+            at = len(self.points) + np.cumsum(size[own]) - size[own]
             to = np.searchsorted(self.keys, distinct[new])
-            self.keys, self.first, self.count = (np.insert(x, to, y) for x, y in ((self.keys, distinct[new]), (self.first, first), (self.count, count)))
+            self.keys, self.first, self.count, self.at, self.size = (
+                np.insert(x, to, y) for x, y in ((self.keys, distinct[new]), (self.first, first), (self.count, count), (self.at, at), (self.size, size[own]))
+            )
             self.ids = np.concatenate((self.ids, ids))
+            self.points = np.concatenate((self.points, points[np.repeat(start[own], size[own]) + _ramps(size[own])]))
             place = np.searchsorted(self.keys, distinct)
-        count, first = self.count[place][of], self.first[place][of]
-        before = np.concatenate(([0], np.cumsum(count)))
-        ids = self.ids[np.repeat(first - before[:-1], count) + np.arange(before[-1])]
-        return ids, np.diff(before[np.searchsorted(start, np.concatenate(([0], ends)))])
+        place = place[of]
+        pool, first, count = self.ids, self.first[place], self.count[place]
+        # a segment with the hash of another one is worked out by itself
+        odd = np.flatnonzero(~_same_runs(points, start, size, self.points, self.at[place], self.size[place]))
+        if len(odd):
+            ids, count[odd] = self.e.segments(points, start[odd], end[odd])
+            first[odd] = len(pool) + np.cumsum(count[odd]) - count[odd]
+            pool = np.concatenate((pool, ids))
+        return pool[np.repeat(first, count) + _ramps(count)], count
+
+    def _names(self, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the segments."""
+        return xxh64(points.view(np.uint8), 4 * start, 4 * end)
 
 
 class Decoder:

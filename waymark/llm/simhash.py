@@ -38,16 +38,7 @@ def fingerprint_texts(texts: list[bytes], width: int = SHINGLE, seed: int = 42)
         w = Words(texts[a:b], lower=True)
         if not len(w.start):
             continue
-        size = w.end - w.start
-        to = np.concatenate(([0], np.cumsum(size + 1)))
-        # words in a row, one space behind each
-        line = np.full(to[-1], 0x20, np.uint8)
-        keep = np.ones(to[-1], bool)
-        keep[to[1:] - 1] = False
-        inside = np.zeros(len(w.buf) + 1, np.int8)
-        inside[w.start] += 1
-        inside[w.end] -= 1
-        line[keep] = w.buf[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
+        line, to = w.line()
         docs = np.flatnonzero(w.count)
         shingles = np.maximum(w.count[docs] - width + 1, 1)
         base = np.concatenate(([0], np.cumsum(shingles)))

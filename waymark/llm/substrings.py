@@ -7,15 +7,16 @@ content, and only text that can match is brought to them:
 1. Each window has an anchor, its gram of least hash (winnowing): equal windows have equal anchors. Anchors that stand
    in two documents or more are kept in a bit map of fixed size.
 2. So are the hashes of windows with such an anchor that start in two documents or more.
-3. Runs of windows that pass both maps and share an anchor are passages. Of equal passages only that of the least id
-   is dealt to a shard, chosen by its anchor (a third map says which), so a group of copies of any size is one passage.
+3. Runs of windows that pass both maps and share an anchor are passages, equal if the 128-bit BLAKE2b digests of their
+   words are. Of equal passages only that of the least id is dealt to a shard, chosen by its anchor (a third map says
+   which), so a group of copies of any size is one passage.
 4. A shard takes its passages by ascending id. Each is streamed past the suffix automaton of those with smaller ids;
    a matching length of a window or more marks that window; then the passage joins the automaton. Words themselves are
    compared here, not hashes.
 5. The marks go back to the documents, whose texts are shuffled this once.
 
 The maps only keep work away: bits that are set by chance (or by a corpus too large for ``MAP_BITS``) cost time and
-never change a result.
+never change a result. Their size follows what they hold, up to ``MAP_BITS``.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -36,11 +38,14 @@ from waymark.session import cut_lineage
 
 WINDOW = 50
 GRAM = 12
-#: Bits of each map: 16 MB, whatever the size of the corpus.
-MAP_BITS = 27
+#: Bits of each map at most (64 MB), and bits for each hash that it holds.
+MAP_BITS = 29
+BITS_EACH = 16
 #: Words of distinct passages that a shard should hold.
 SHARD_WORDS = 60_000
-_PLACE = np.uint64((1 << 24) - 1)
+#: Bits for the place of a gram, and windows whose anchors are found at once.
+PLACE_BITS = 24
+SPAN = 1 << 20
 
 
 class Windows:
@@ -52,22 +57,28 @@ class Windows:
         self.start, self.doc, self.hash, self.anchor = none, none, none.astype(np.uint64), none.astype(np.uint64)
         if n < window:
             return
-        h = words.hashes()
-        grams = window_hashes(h, gram)
         left = np.repeat(words.first[1:], words.count) - np.arange(n)
         self.start = np.flatnonzero(left >= window)
         if not len(self.start):
             return
+        grams, windows = window_hashes(words.hashes(), gram, window)
         self.doc = words.doc[self.start]
-        self.hash = window_hashes(h, window)[self.start]
-        # of equal hashes the first gram of the window: its place stands in the low bits
-        place = np.arange(len(grams), dtype=np.uint64)
-        if len(grams) <= int(_PLACE):
-            least = sliding((grams & ~_PLACE) | place, window - gram + 1, np.minimum)[self.start]
-            self.anchor = grams[(least & _PLACE).astype(np.int64)]
-        else:  # one text of more words than places: the hash alone, by its first place
-            least = sliding(grams, window - gram + 1, np.minimum)[self.start]
-            self.anchor = least
+        self.hash = windows[self.start]
+        self.anchor = _anchors(grams, window - gram + 1)[self.start]
+
+
+def _anchors(grams: np.ndarray, width: int) -> np.ndarray:
+    """The gram of least hash (by its leading bits; of equal ones the first) of each run of ``width`` grams.
+
+    Places count from the start of a span of bounded length, so the rule is the same for texts of any size.
+    """
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    out = np.empty(max(len(grams) - width + 1, 0), np.uint64)
+    for a in range(0, len(out), SPAN):
+        own = grams[a : a + SPAN + width - 1]
+        least = sliding((own & ~low) | np.arange(len(own), dtype=np.uint64), width, np.minimum)
+        out[a : a + SPAN] = own[(least & low).astype(np.int64)]
+    return out
 
 
 def _in_map(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -77,22 +88,23 @@ def _in_map(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _map_of(hashes: DataFrame) -> np.ndarray:
-    """Bit map of the hashes in column ``h``."""
-    place = F.shiftrightunsigned("h", 64 - MAP_BITS)
-    # at most 2 ** (MAP_BITS - 6) rows
+    """Bit map of the hashes in column ``h`` (of a table that is written already)."""
+    bits = min(MAP_BITS, max(16, (BITS_EACH * hashes.count()).bit_length()))
+    place = F.shiftrightunsigned("h", 64 - bits)
+    # at most 2 ** (bits - 6) rows
     found = (
         hashes.select(place.alias("p"))
         .select(F.shiftrightunsigned("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63L as int))").alias("m"))
         .groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
     )
-    words = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    words = np.zeros(1 << (bits - 6), np.int64)
     words[found.column("w").to_numpy()] = found.column("m").to_numpy()
     return words.view(np.uint8)
 
 
 def _repeated(hashes: DataFrame) -> DataFrame:
     """Hashes that stand in two rows or more; each row gives a hash once."""
-    return hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    return cut_lineage(hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
 
 
 def _over_windows(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
@@ -246,29 +258,29 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def of_places(words: Words, w: Windows, ids: np.ndarray, marks: np.ndarray) -> list:
         first, last = _passages(words, w, anchors.value, windows.value)
         doc, start = w.doc[first], w.start[first]
-        anchor, content = w.anchor[first], _content(w, first, last)
-        return [x.view(np.int64) for x in (anchor, content, _owned(anchor, content, ids[doc]))] + [
+        anchor, (content, check) = w.anchor[first], _digests(_texts(words, w, first, last))
+        return [x.view(np.int64) for x in (anchor, content, check, _owned(anchor, content, ids[doc]))] + [
             ids[doc], marks[doc], (start - words.first[doc]).astype(np.int32), (w.start[last] - start + 1).astype(np.int32)
         ]
 
-    places = cut_lineage(_over_windows(rows, of_places, "anchor long, content long, own long, id long, mark long, first int, windows int"))
-    distinct = places.groupBy("anchor", "content").agg(F.min_by("own", "id").alias("h"), F.max("windows").alias("windows")).persist()
+    places = cut_lineage(_over_windows(rows, of_places, "anchor long, content long, check long, own long, id long, mark long, first int, windows int"))
+    distinct = cut_lineage(places.groupBy(*PASSAGE).agg(F.min_by("own", "id").alias("h"), F.max("windows").alias("windows")))
     total = distinct.agg(F.sum(F.col("windows") + F.lit(WINDOW - 1))).first()[0] or 0
     owners = context.broadcast(_map_of(distinct))
-    distinct.unpersist()
 
     def of_texts(words: Words, w: Windows, ids: np.ndarray, marks: np.ndarray) -> list:
         first, last = _passages(words, w, anchors.value, windows.value)
-        content = _content(w, first, last)
-        ok = _in_map(owners.value, _owned(w.anchor[first], content, ids[w.doc[first]]))
-        first, last, content = first[ok], last[ok], content[ok]
-        line = words.buf.tobytes()
-        passage = [b" ".join(split(line[a:b])) for a, b in zip(words.start[w.start[first]].tolist(), words.end[w.start[last] + WINDOW - 1].tolist())]
-        return [w.anchor[first].view(np.int64), content.view(np.int64), ids[w.doc[first]], pa.array(passage, pa.binary()).cast(pa.string())]
-
-    marked = _marked(_over_windows(rows, of_texts, "anchor long, content long, id long, passage string"), int(total))
+        texts = _texts(words, w, first, last)
+        anchor, id_, (content, check) = w.anchor[first], ids[w.doc[first]], _digests(texts)
+        ok = np.flatnonzero(_in_map(owners.value, _owned(anchor, content, id_)))
+        passage = pa.array([texts[i] for i in ok.tolist()], pa.binary()).cast(pa.string())
+        return [*(x[ok].view(np.int64) for x in (anchor, content, check)), id_[ok], passage]
+
+    marked = cut_lineage(_marked(_over_windows(rows, of_texts, "anchor long, content long, check long, id long, passage string"), int(total)))
+    for shared in (anchors, windows, owners):
+        shared.destroy()
     return (
-        places.join(marked, ["anchor", "content"])
+        places.join(marked, PASSAGE)
         .select(
             "id", "mark",
             F.when(F.col("id") > F.col("low"), F.array(F.col("first"), F.col("first") + F.col("windows") + F.lit(WINDOW - 2)))
@@ -279,10 +291,23 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
-def _content(w: Windows, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Hash of each run of windows."""
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(w.hash * (w.hash | np.uint64(1)))))
-    return mix((sums[last + 1] - sums[first]) ^ mix(w.hash[first]) ^ mix(w.hash[last] + (last - first).astype(np.uint64)))
+#: What names a passage: its anchor, and the two halves of the digest of its words.
+PASSAGE = ["anchor", "content", "check"]
+
+
+def _texts(words: Words, w: Windows, first: np.ndarray, last: np.ndarray) -> list[bytes]:
+    """The words of each run of windows, one space between them."""
+    if not len(first):
+        return []
+    line, to = words.line()
+    line = line.tobytes()
+    return [line[a:b] for a, b in zip(to[w.start[first]].tolist(), (to[w.start[last] + WINDOW] - 1).tolist())]
+
+
+def _digests(passages: list[bytes]) -> np.ndarray:
+    """The two halves of the 128-bit digest of each passage."""
+    raw = b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in passages)
+    return np.frombuffer(raw, np.uint64).reshape(-1, 2).T
 
 
 def _owned(anchor: np.ndarray, content: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -291,16 +316,16 @@ def _owned(anchor: np.ndarray, content: np.ndarray, ids: np.ndarray) -> np.ndarr
 
 
 def _marked(texts: DataFrame, words: int) -> DataFrame:
-    """``(anchor, content, low, runs)`` of distinct passages, by the automata of their shards."""
+    """``(anchor, content, check, low, runs)`` of distinct passages, by the automata of their shards."""
     shards = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-words // SHARD_WORDS))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         # a passage of a larger id can come along by a chance bit
-        pdf = pdf.sort_values("id", kind="stable").drop_duplicates(["anchor", "content"])
+        pdf = pdf.sort_values("id", kind="stable").drop_duplicates(PASSAGE)
         marks = mark_shard([(low, text.split(" ")) for low, text in zip(pdf["id"], pdf["passage"])])
-        return pd.DataFrame({"anchor": pdf["anchor"], "content": pdf["content"], "low": pdf["id"], "runs": marks})
+        return pd.DataFrame({c: pdf[c] for c in PASSAGE} | {"low": pdf["id"], "runs": marks})
 
-    return texts.withColumn("shard", F.pmod("anchor", F.lit(shards))).groupBy("shard").applyInPandas(run, "anchor long, content long, low long, runs array<int>")
+    return texts.withColumn("shard", F.pmod("anchor", F.lit(shards))).groupBy("shard").applyInPandas(run, "anchor long, content long, check long, low long, runs array<int>")
 
 
 def cover(runs: list[int] | None, n: int) -> np.ndarray:
@@ -361,11 +386,15 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", char
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for i, runs in enumerate(batch.column(2).to_pylist()):
-                if runs:
-                    texts[i] = cut(texts[i], runs)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()).cast(pa.string())], names=["row", "text"])
+            for a, b, texts in text_pieces(batch.column(1)):
+                own, runs = batch.slice(a, b - a), batch.column(2).slice(a, b - a).to_pylist()
+                if any(runs):
+                    text = pa.array([cut(t, r) if r else t for t, r in zip(texts, runs)], pa.binary()).cast(pa.string())
+                    null = own.column(1).is_null()
+                    text = pc.if_else(null, pa.scalar(None, pa.string()), text)
+                else:
+                    text = own.column(1)
+                yield pa.RecordBatch.from_arrays([own.column(0), text], names=["row", "text"])
 
     cut_out = joined.mapInArrow(run, StructType([joined.schema["row"], joined.schema["text"]]))
     chars = {chars_col: F.length("text").cast(docs.schema[chars_col].dataType)} if chars_col in docs.columns else {}

@@ -7,11 +7,11 @@ pieces of about ``PIECE`` bytes: memory does not follow the size of an Arrow bat
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 PIECE = 2 << 20
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -22,8 +22,8 @@ IS_PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)]
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Spans of more bytes than this are hashed one by one, by the library.
+LONG_SPAN = 256
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
@@ -54,22 +54,6 @@ def text_pieces(column: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, int
         first = last
 
 
-@lru_cache(maxsize=1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_BASE, _BASE_INVERSE):
-        steps = np.full(size, base, np.uint64)
-        steps[0] = 1
-        out.append(np.multiply.accumulate(steps))
-    return out[0], out[1]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, at least ``n`` of each."""
-    size = 1 << max(16, int(n - 1).bit_length())
-    return _powers(size)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash."""
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -94,20 +78,46 @@ class Words:
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(texts)), self.count)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        up, down = powers(len(self.buf))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * up[: len(self.buf)])))
-        return mix((sums[self.end] - sums[self.start]) * down[self.start])
+    def line(self) -> tuple[np.ndarray, np.ndarray]:
+        """``(bytes, to)``: the words in a row, one space behind each; word ``i`` is ``bytes[to[i] : to[i + 1] - 1]``."""
+        to = np.concatenate(([0], np.cumsum(self.end - self.start + 1)))
+        line = np.full(to[-1], 0x20, np.uint8)
+        keep = np.ones(to[-1], bool)
+        keep[to[1:] - 1] = False
+        inside = np.zeros(len(self.buf) + 1, np.int8)
+        inside[self.start] += 1
+        inside[self.end] -= 1
+        line[keep] = self.buf[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
+        return line, to
 
-
-def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each run of ``width`` consecutive values (``len(h) - width + 1`` of them)."""
-    if len(h) < width:
-        return np.zeros(0, np.uint64)
-    up, down = powers(len(h))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)])))
-    return mix((sums[width:] - sums[:-width]) * down[: len(h) - width + 1])
+    def hashes(self) -> np.ndarray:
+        """XXH64 of each word's bytes."""
+        return xxh64(self.buf, self.start, self.end)
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of a run of values whose two parts have hashes ``a`` and ``b``: neither symmetric nor linear."""
+    return mix((a * P1) ^ b)
+
+
+def window_hashes(h: np.ndarray, *widths: int) -> list[np.ndarray]:
+    """For each width, the hash of each run of so many consecutive values (``len(h) - width + 1`` of them).
+
+    Runs of 1, 2, 4 ... values are hashed from two halves each, and a run of any width from such runs, the shortest
+    first. (A polynomial modulo 2**64 would let long regular sequences collide, whatever its base.)
+    """
+    out = [h[: max(len(h) - width + 1, 0)] if width & 1 else None for width in widths]
+    reach = [width & 1 for width in widths]
+    level, size = h, 1
+    while 2 * size <= max(widths):
+        level, size = joined(level[: max(len(level) - size, 0)], level[size:]), 2 * size
+        for i, width in enumerate(widths):
+            if width & size:
+                n = max(len(h) - width + 1, 0)
+                own = level[reach[i] : reach[i] + n]
+                out[i] = own if out[i] is None else joined(out[i][:n], own)
+                reach[i] += size
+    return out
 
 
 def sliding(values: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
@@ -144,6 +154,9 @@ def xxh64(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 42) -
             if not len(own):
                 continue
             n, s = int(lengths[own[0]]), start[own]
+            if n > LONG_SPAN:
+                out[own] = [xxhash.xxh64_intdigest(buf[a : a + n].tobytes(), seed) for a in s.tolist()]
+                continue
             at = 0
             if n >= 32:
                 one = np.ones(len(s), np.uint64) * np.uint64(seed)
