@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from waymark.llm import ann
@@ -54,6 +57,41 @@ def test_unusable_rows_take_no_part(spark):
     assert [r[:3] for r in got] == [(0, 1, 4), (0, 2, 4), (0, 3, 100), (100, 1, 0), (100, 2, 4), (100, 3, 4)]
 
 
+def test_any_magnitude(spark):
+    """Finite vectors whose squares overflow or vanish take part like any other."""
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=4) * 10.0 ** rng.choice([-250, -170, 0, 160, 200])).tolist()) for i in range(1500)]
+    rows += [(5000, [1e200, 0.0, 0.0, 0.0]), (5001, [1.5e308, 0.0, 0.0, 0.0]), (5002, [5e-324, 0.0, 0.0, 0.0])]
+    found: dict = {}
+    for r in ann.search(vectors(spark, rows, "double"), query()).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    by_id = dict(rows)
+    assert set(found) == {i for i, _ in rows if i % 100 == 0} and all(len(v) == 10 for v in found.values())
+    assert all(s == pytest.approx(math.hypot(*np.subtract(by_id[v], by_id[q])), rel=1e-12, abs=0) for q, got in found.items() for _, v, s in got)
+    assert ann.distances(np.array([[3e200, 4e200], [3e-200, 4e-200], [0, 0]]), np.zeros(2)) == pytest.approx([5e200, 5e-200, 0], rel=1e-12, abs=0)
+
+
+def test_few_rows_in_the_probed_partitions(spark, monkeypatch):
+    """Queries filed apart from all other rows still find ten."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(2000)]
+    monkeypatch.setattr(ann, "fit", lambda sample, n: ann.Router(9.0, np.zeros(8), np.ones(8), np.eye(8)[:, :1], np.zeros(1), np.array([[1.0, -1.0]]), np.array([-3.0, 0.0]), 1))
+    found = ann.search(vectors(spark, rows, "double"), query()).collect()
+    want = exact(rows)
+    one = next(i for i, v in rows if v[0] > 2.2)
+    assert one is not None and len(found) == 10 * len(want)
+    far = [(i if i != one else 100_000, v) for i, v in rows if v[0] <= 1.5 or i == one]
+    got = sorted((r.rank, r.vec_id) for r in ann.search(vectors(spark, far, "double"), query()).where("query_id = 100000").collect())
+    assert [v for _, v in got] == [v for v, _ in exact(far)[100_000]]
+
+
+def test_an_id_with_several_vectors(spark):
+    """Each vector is a candidate; of a query's the least asks."""
+    rows = [(0, [5.0, 5.0]), (0, [1.0, 0.0]), (1, [1.0, 1.0]), (1, [2.0, 0.0]), (2, [5.0, 6.0])]
+    got = [tuple(r) for r in ann.search(vectors(spark, rows), query()).orderBy("rank").collect()]
+    assert [r[:3] for r in got] == [(0, 1, 1), (0, 2, 1), (0, 3, 2)] and [r[3] for r in got] == pytest.approx([1, 1, 52**0.5])
+
+
 def test_empty_tables(spark):
     assert ann.search(vectors(spark, []), query()).collect() == []
     assert ann.search(vectors(spark, [(1, [1.0, 2.0])]), query()).collect() == []

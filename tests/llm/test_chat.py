@@ -102,3 +102,9 @@ def test_clashing_columns_and_plan(spark):
     assert sorted((tuple(r) for r in out.collect()), key=repr) == brute(ODD)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_long_roles_and_texts(spark):
+    """The pattern that reads them back keeps no way back for each character."""
+    rows = [(1, 0, "user" + "r" * 100_000, "x" * 300_000), (1, 1, "a\nb\\<s>" * 20_000, "\\<|im_end|>" * 20_000), (2, 0, "user", "</s>" * 100_000), (2, 1, "assistant", "\n" * 200_000)]
+    assert got(spark, rows) == brute(rows)

@@ -10,7 +10,7 @@ a vector that repeats in a third of all rows fills many small tasks; each return
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.session import cut_lineage
+
 #: Bound of the fit: rows that the graph and the classifier are made from.
 SAMPLE = 8192
 #: Neighbours a vector has in the graph.
@@ -25,6 +27,8 @@ EDGES = 10
 HIDDEN, EPOCHS, BATCH, RATE = 128, 25, 256, 2e-3
 #: Share of true neighbours in the sample that the probed partitions must hold.
 RECALL = 0.95
+#: The graph and the classifier see components up to so many times the usual size of a vector's largest one.
+REACH = 16.0
 #: Queries that one task takes at most, about.
 QUERY_GROUP = 4096
 
@@ -89,8 +93,12 @@ def balanced_partition(x: np.ndarray, neighbours: np.ndarray, levels: int, round
 
 @dataclass(frozen=True)
 class Router:
-    """A classifier with one hidden layer, and how many partitions a query probes. A few hundred kB at most."""
+    """A classifier with one hidden layer, and how many partitions a query probes. A few hundred kB at most.
+
+    ``bound``: components beyond it count as it, so that a few huge vectors do not blind the classifier to the others.
+    """
 
+    bound: float
     mean: np.ndarray
     scale: np.ndarray
     w1: np.ndarray
@@ -100,14 +108,14 @@ class Router:
     probes: int
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return np.maximum((x - self.mean) / self.scale @ self.w1 + self.b1, 0) @ self.w2 + self.b2
+        return np.maximum((np.clip(x, -self.bound, self.bound) - self.mean) / self.scale @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
     def route(self, x: np.ndarray, probes: int) -> np.ndarray:
         """The most probable partitions of each vector, the first the one it is filed under."""
         return np.argsort(-self.scores(x), axis=1, kind="stable")[:, :probes]
 
 
-def _train(x: np.ndarray, target: np.ndarray, seed: int = 3) -> Router:
+def _train(x: np.ndarray, target: np.ndarray, bound: float, seed: int = 3) -> Router:
     rng = np.random.default_rng(seed)
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-12)
     z = (x - mean) / scale
@@ -129,45 +137,63 @@ def _train(x: np.ndarray, target: np.ndarray, seed: int = 3) -> Router:
                 m[i] = 0.9 * m[i] + 0.1 * g
                 v[i] = 0.999 * v[i] + 0.001 * g * g
                 w -= rate * m[i] / (np.sqrt(v[i]) + 1e-8)
-    return Router(mean, scale, *weights, probes=1)
+    return Router(bound, mean, scale, *weights, probes=1)
 
 
 def fit(sample: np.ndarray, rows: int) -> Router:
     """Router from a sample (a row each, doubles) of a table of ``rows`` usable vectors."""
-    x = np.unique(sample, axis=0)
+    bound = float(min(REACH * np.median(np.abs(sample).max(axis=1)), 1e150)) if sample.size else 1.0
+    x = np.unique(np.clip(sample, -bound, bound), axis=0)
     n = len(x)
     levels = int(np.clip(round(np.log2(max(np.sqrt(rows) / 8, 1))), 0, np.log2(max(n / 48, 1))))
     k = min(EDGES, n - 1)
     if not levels or k < 1:
         d = sample.shape[1]
-        return Router(np.zeros(d), np.ones(d), np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
+        return Router(bound, np.zeros(d), np.ones(d), np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
     near = _nearest(x, k)
     part = balanced_partition(x, near, levels)
     parts = 1 << levels
     target = np.bincount(np.repeat(np.arange(n), k + 1) * parts + part[np.column_stack((np.arange(n), near))].ravel(), minlength=n * parts).reshape(n, parts) / (k + 1)
-    router = _train(x, target)
+    router = _train(x, target, bound)
     ranks = np.argsort(np.argsort(-router.scores(x), axis=1, kind="stable"), axis=1)
     filed = ranks.argmin(axis=1)
     needed = np.sort(np.take_along_axis(ranks, filed[near], axis=1).ravel())
     probes = int(needed[min(len(needed) - 1, int(np.ceil(RECALL * len(needed))))]) + 1
-    return Router(router.mean, router.scale, router.w1, router.b1, router.w2, router.b2, probes)
+    return replace(router, probes=probes)
+
+
+def distances(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distance of each row to the query, also where the squares leave the range of doubles."""
+    with np.errstate(over="ignore"):
+        diff = np.abs(rows - query)
+        out = np.sqrt((diff * diff).sum(axis=1))
+    odd = np.flatnonzero(~np.isfinite(out) | (out < 1e-140))
+    if len(odd):
+        up = np.frexp(diff[odd].max(axis=1))[1]
+        part = np.ldexp(diff[odd], -up[:, None])
+        out[odd] = np.ldexp(np.sqrt((part * part).sum(axis=1)), up)
+    return out
 
 
 def best(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ``k`` rows nearest to each query, by exact distance and then id, leaving out rows of the query's id."""
-    squares = np.einsum("ij,ij->i", rows, rows)
+    peak = max(np.abs(rows).max(initial=0.0), np.abs(queries).max(initial=0.0))
+    down = -int(np.frexp(peak)[1])  # a power of two that brings all components under 1: products cannot overflow
+    small, least = np.ldexp(rows, down), min(k, len(rows)) - 1
+    squares = np.einsum("ij,ij->i", small, small)
     out = []
     for a in range(0, len(queries), 256):
-        q = queries[a : a + 256]
+        q = np.ldexp(queries[a : a + 256], down)
         own = np.einsum("ij,ij->i", q, q)
-        rough = squares[None, :] + own[:, None] - 2 * q @ rows.T
-        rough[query_ids[a : a + 256, None] == ids[None, :]] = np.inf
-        kth = np.partition(rough, min(k, len(rows)) - 1, axis=1)[:, min(k, len(rows)) - 1]
+        rough = squares[None, :] + own[:, None] - 2 * q @ small.T
+        same = query_ids[a : a + 256, None] == ids[None, :]
+        rough[same] = np.inf
+        kth = np.partition(rough, least, axis=1)[:, least]
         # rounding of the products: keep all that may be among the nearest
         limit = kth + 1e-9 * (own + squares.max())
         for i in range(len(q)):
-            at = np.flatnonzero((rough[i] <= limit[i]) & np.isfinite(rough[i]))
-            exact = np.sqrt(((rows[at] - q[i]) ** 2).sum(axis=1))
+            at = np.flatnonzero((rough[i] <= limit[i]) & ~same[i])
+            exact = distances(rows[at], queries[a + i])
             first = np.lexsort((ids[at], exact))[:k]
             out.append((np.full(len(first), query_ids[a + i]), ids[at[first]], exact[first]))
     if not out:
@@ -182,9 +208,9 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
 def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` rows nearest to each query row found, by Euclidean distance.
 
-    Every usable vector is indexed. Null, zero and non-finite vectors, vectors of another length than most, and null ids
+    Every usable vector is indexed. A query whose partitions hold fewer than ``k`` candidates goes to all of them. Null, zero and non-finite vectors, vectors of another length than most, and null ids
     take no part. Rows of the query's own id are no candidates; rows that repeat an id are candidates of their own, and
-    a query row that repeats is answered once. Ties go to the smaller id. Other columns are not read; an empty table
+    a query id that repeats is answered once, for the least of its vectors. Ties go to the smaller id. Other columns are not read; an empty table
     gives an empty table.
     """
     spark = vectors.sparkSession
@@ -209,19 +235,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
             probed = pa.array([r.tolist() if a else None for r, a in zip(routes.astype(np.int32), asks)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(routes[:, 0].astype(np.int32)), probed], names=["id", "v", "part", "probed"])
 
-    filed = rows.mapInArrow(file, "id long, v array<double>, part int, probed array<int>").persist()
-    queries = filed.where("probed is not null").select(F.col("id").alias("query"), F.col("v").alias("qv"), "probed").distinct()
-    block = max(64, -(-n // len(router.b2)))
-    # a row a partition: how many blocks its rows fill, and how many groups its queries
+    filed = cut_lineage(rows.mapInArrow(file, "id long, v array<double>, part int, probed array<int>"))
+    shared.destroy()
+    parts = len(router.b2)
+    block = max(64, -(-n // parts))
+    # a row a partition: how many blocks its rows fill
     sizes = filed.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    asked = queries.select(F.explode("probed").alias("part")).groupBy("part").agg(F.ceil(F.count("*") / QUERY_GROUP).cast("int").alias("groups"))
-    plan = F.broadcast(sizes.join(asked, "part"))
-    cast = filed.select("id", "v", "part").join(plan, "part").select(
-        "id", "v", "part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group")
-    )
-    asking = queries.select("query", "qv", F.explode("probed").alias("part")).join(plan, "part").select(
-        "query", "qv", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query"), F.col("groups")).cast("int").alias("group")
-    )
 
     def rank(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(asked):
@@ -229,7 +248,26 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
         q, i, s = best(rows["id"].to_numpy(np.int64), _matrix(rows["v"], width), asked["query"].to_numpy(np.int64), _matrix(asked["qv"], width), k)
         return pd.DataFrame({"query_id": q, "vec_id": i, "score": s})
 
-    keys = ["part", "block", "group"]
-    found = cast.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInPandas(rank, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def answered(queries: DataFrame) -> DataFrame:
+        # and how many groups the queries that probe it
+        asked = queries.select(F.explode("probed").alias("part")).groupBy("part").agg(F.ceil(F.count("*") / QUERY_GROUP).cast("int").alias("groups"))
+        plan = F.broadcast(sizes.join(asked, "part"))  # at most ``parts`` rows
+        cast = filed.select("id", "v", "part").join(plan, "part").select(
+            "id", "v", "part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group")
+        )
+        asking = queries.select("query", "qv", F.explode("probed").alias("part")).join(plan, "part").select(
+            "query", "qv", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query"), F.col("groups")).cast("int").alias("group")
+        )
+        keys = ["part", "block", "group"]
+        found = cast.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInPandas(rank, "query_id long, vec_id long, score double")
+        order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    asks = F.min_by(F.struct("v", "probed"), "v").alias("q")
+    queries = filed.where("probed is not null").groupBy(F.col("id").alias("query")).agg(asks).select("query", F.col("q.v").alias("qv"), F.col("q.probed").alias("probed"))
+    found = cut_lineage(answered(queries))
+    full = found.groupBy("query_id").agg(F.count("*").alias("c")).where(F.col("c") >= k).select(F.col("query_id").alias("query"))
+    short = cut_lineage(queries.where(F.size("probed") < parts).join(full, "query", "left_anti").withColumn("probed", F.sequence(F.lit(0), F.lit(parts - 1))))
+    if short.isEmpty():
+        return found
+    return found.join(short.select(F.col("query").alias("query_id")), "query_id", "left_anti").unionByName(answered(short))

@@ -68,7 +68,8 @@ def format_parts(rows: DataFrame, template: Template = Template()) -> DataFrame:
 
     ``rows``: conv_id, turn, role, text; other columns are not read. ``segments``: array of (text, loss), three for a
     turn. ``ordered``: whether each turn in the part may follow the one before it. Turns are ordered by number (null
-    first), ties by role and text; repeated rows are turns of their own. Null roles and texts are empty.
+    first), ties by role and text; repeated rows are turns of their own. Null roles and texts are empty, roles and texts
+    may be of any length, and an empty table gives an empty table.
     """
     turns = rows.select(
         "conv_id",
@@ -95,7 +96,8 @@ def format_parts(rows: DataFrame, template: Template = Template()) -> DataFrame:
 def read_back(parts: DataFrame, template: Template = Template()) -> DataFrame:
     """``parts`` with what the formatted text alone says: formatted, turns (role, text), loss_text."""
     opening, closing = _literal(template.opening), _literal(template.closing)
-    pattern = F.lit(rf"(?s){opening}((?:\\.|[^\\\n])*)\n(.*?){closing}\n")
+    # possessive, so that the matcher keeps no way back for each character of a role
+    pattern = F.lit(rf"(?s){opening}((?:[^\\\n]++|\\.)*+)\n(.*?){closing}\n")
     formatted = F.array_join(F.col("segments.text"), "")
     turns = F.arrays_zip(F.transform(F.regexp_extract_all("formatted", pattern, 1), unescape).alias("role"), F.transform(F.regexp_extract_all("formatted", pattern, 2), unescape).alias("text"))
     under = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"]))

@@ -25,7 +25,7 @@ STEP_COST = np.array([0, 1, 2, 6], np.int64)
 #: Difference that counts as no likeness at all: two points a bucket.
 FULL = 2 * BUCKETS
 #: Most ranges that neighbours() cuts the ids into; heads of ranges are broadcast, so this bounds that table.
-MAX_RANGES = 8192
+MAX_RANGES = 32_768
 
 
 def _checksums(texts: list[bytes]) -> np.ndarray:

@@ -23,7 +23,7 @@ MAX_SOURCES = 4096
 #: Most that given weights may add up to: the length of the schedule.
 MAX_SLOTS = 65_536
 #: Hex digits that name the parts that each source's rows are numbered in, so that a large source is not one task's work.
-PART_DIGITS = 2
+PART_DIGITS = 3
 
 _FOLD = """
 aggregate(

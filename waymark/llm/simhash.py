@@ -27,6 +27,8 @@ RADIUS = 3
 #: Distinct fingerprints that a prefix of the trie should hold on average. Each more bit of prefix makes more pairs of
 #: prefixes that a fingerprint goes to (8 at 3 bits, 64 at 7), so prefixes are kept as short as a task's memory allows.
 LEAVES = 131_072
+#: Times that number that one prefix may hold, and the longest prefix (2,048 pairs at 3 bits apart for each fingerprint).
+CROWDED, MAX_PREFIX = 4, 23
 #: Pairs of nodes that are advanced at once.
 FRONT = 1 << 19
 
@@ -151,14 +153,19 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, leaves: int = LEAVES, n:
     """Links ``(u, v)`` that span the pairs at most ``radius`` bits apart. ``nodes``: distinct longs in column ``fp``."""
     stats = nodes.agg(F.count("*").alias("n"), *(F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64))).first()
     total = stats["n"] or 0
-    b = max(3, min(12, int(np.ceil(np.log2(max(total, 1) / leaves)))) if total else 3)
     # the most evenly split bits go on top, so that the prefixes hold about equally many leaves
     order = sorted(range(64), key=lambda i: (abs((stats[f"b{i}"] or 0) - total / 2), i))
-    top = order[:b]
-    prefix = None
-    for k, i in enumerate(top):
-        bit = F.shiftleft(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1)), b - 1 - k)
-        prefix = bit if prefix is None else prefix.bitwiseOR(bit)
+    b = max(3, int(np.ceil(np.log2(max(total, 1) / leaves))))
+    while True:
+        top = order[:b]
+        prefix = F.lit(0).cast("long")
+        for k, i in enumerate(top):
+            prefix = prefix.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1)), b - 1 - k))
+        # a prefix that holds far more than the others is split by more bits, as far as it can be
+        most = nodes.groupBy(prefix.alias("p")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if most <= CROWDED * leaves or b >= MAX_PREFIX:
+            break
+        b += 1
     masks = [sum(1 << x for x in c) for r in range(min(radius, b) + 1) for c in combinations(range(b), r)]
     placed = nodes.select("fp", prefix.cast("int").alias("p"))
     pairs = placed.select("fp", "p", F.explode(F.array(*map(F.lit, masks))).alias("m")).select(

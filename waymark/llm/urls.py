@@ -3,6 +3,9 @@
 Everything is DataFrame and SQL: features are expressions, the trees are trained by the DataFrame-based ML library of
 Spark on a bounded sample of labelled URLs, and are then written out as CASE expressions, so that scoring is part of
 whole-stage code. The labelled URLs are those that a rule decides (or those of a table of labels, if one is given).
+
+Statistics of suffixes are over all labelled URLs. What a URL is trained on leaves its own fold out of them, so that its
+label is not among its features.
 """
 
 from __future__ import annotations
@@ -14,11 +17,15 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.session import cut_lineage
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Labelled URLs of each class that the trees are trained on, at most.
 ROWS_PER_CLASS = 10_000
 #: Most suffixes whose statistics are broadcast; more are joined by a shuffle.
 SMALL = 100_000
+#: Folds of the labelled URLs, and how many labels the mean rate counts as in a suffix's rate.
+FOLDS, PRIOR = 5, 8
 TREES, DEPTH, BINS, STEP = 12, 4, 32, 0.3
 
 
@@ -97,6 +104,15 @@ def suffix(of_host: Column) -> Column:
     return F.substring_index(of_host, ".", -2)
 
 
+def fold(url: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(11), url), F.lit(FOLDS)).cast("int")
+
+
+def _statistics(n: Column, blocked: Column, share: float) -> dict[str, Column]:
+    """Of a suffix with so many labelled URLs, of which so many are blocked; ``share``: that of all labels."""
+    return {"suffix_count": F.log1p(n), "suffix_rate": (blocked + PRIOR * share) / (n + PRIOR)}
+
+
 def _as_sql(node: object, names: list[str]) -> str:
     if node.getClass().getSimpleName() == "LeafNode":
         return repr(float(node.prediction())) + "D"
@@ -131,19 +147,26 @@ def judge(pages: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] = RULE
     for name, value in features(F.col("_url"), F.col("_host"), F.col("_path")).items():
         train = train.withColumn(name, value.cast("double"))
         described = described.withColumn(f"_x_{name}", value.cast("double"))
-    train = train.withColumn("_suffix", suffix(F.col("_host"))).cache()
+    train = cut_lineage(train.withColumn("_suffix", suffix(F.col("_host"))).withColumn("_fold", fold(F.col("_url"))))
     sizes = {r["_block"]: r["n"] for r in known.groupBy("_block").agg(F.count("*").alias("n")).collect()}
     trees: list[str] = []
     if len(sizes) == 2:
-        # over all labelled URLs, not the sample alone
+        # over all labelled URLs, not the sample alone: of all folds, and of each
         share = sizes[1] / (sizes[0] + sizes[1])
-        rates = known.withColumn("_suffix", suffix(F.col("_host"))).groupBy("_suffix").agg(F.count("*").alias("_n"), F.sum("_block").alias("_b")).select(
-            "_suffix", F.log1p("_n").alias("suffix_count"), ((F.col("_b") + 8 * share) / (F.col("_n") + 8)).alias("suffix_rate")
-        ).cache()
-        if rates.count() <= SMALL:
-            rates = F.broadcast(rates)
+        own = [F.col("_fold") == i for i in range(FOLDS)]
+        counted = cut_lineage(
+            known.withColumn("_suffix", suffix(F.col("_host"))).withColumn("_fold", fold(F.col("_url"))).groupBy("_suffix").agg(
+                F.count("*").alias("_n"), F.sum("_block").alias("_b"),
+                F.array(*(F.sum(x.cast("long")) for x in own)).alias("_ns"), F.array(*(F.sum(F.when(x, F.col("_block")).otherwise(0)) for x in own)).alias("_bs"),
+            )
+        )
+        few = counted.count() <= SMALL
+        out_of_fold = _statistics(F.col("_n") - F.col("_ns")[F.col("_fold")], F.col("_b") - F.col("_bs")[F.col("_fold")], share)
+        train = train.join(F.broadcast(counted) if few else counted, "_suffix").withColumns(out_of_fold)
+        rates = counted.select("_suffix", *(x.alias(c) for c, x in _statistics(F.col("_n"), F.col("_b"), share).items()))
+        rates = F.broadcast(rates) if few else rates
         names = [*features(F.col("_url"), F.col("_host"), F.col("_path")), "suffix_count", "suffix_rate"]
-        vectors = VectorAssembler(inputCols=names, outputCol="features").transform(train.join(rates, "_suffix"))
+        vectors = VectorAssembler(inputCols=names, outputCol="features").transform(train)
         model = GBTClassifier(labelCol="_block", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, maxBins=BINS, stepSize=STEP, seed=5).fit(vectors)
         trees = [f"{w!r}D * ({_as_sql(t._call_java('rootNode'), [f'_x_{x}' for x in names])})" for w, t in zip(map(float, model.treeWeights), model.trees)]
         described = (
