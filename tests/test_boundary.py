@@ -132,3 +132,13 @@ def test_plan_has_no_cross_join(spark):
     df = spark.range(10).select("id", (F.col("id") * 1.0).alias("lat"), (F.col("id") * 2.0).alias("lng"))
     plan = p.range_join(df, df.withColumnRenamed("id", "other"), 5.0)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_hull_of_parts(spark, monkeypatch):
+    """Parts of any size give the hull of all points."""
+    monkeypatch.setattr(b, "HULL_POINTS", 20)
+    rng = np.random.default_rng(4)
+    p = np.vstack((rng.normal(0, 5, (400, 2)), [(np.cos(a) * 40, np.sin(a) * 40) for a in np.linspace(0, 6, 30)]))
+    df = spark.createDataFrame([("g", float(y), float(x)) for x, y in p] + [("h", 1.0, 2.0)], "g string, lat double, lng double")
+    got = [(r.lng, r.lat) for r in b.convex_hull(df, "g").where("g = 'g'").orderBy("seq").collect()]
+    assert got == [tuple(p[i]) for i in b.hull_indices(p[:, 0], p[:, 1])]

@@ -95,3 +95,22 @@ def test_error_codes():
     assert as_service_error(DomainError("EMPTY", "nothing")).code == "InvalidParams"
     assert as_service_error(ServiceError("TIMEOUT", "late")).code == "TIMEOUT"
     assert as_service_error(OSError("key: ?key=1"), "ROUTE_FAIL").as_dict() == {"code": "ROUTE_FAIL", "message": "key: ?key=REDACTED"}
+
+
+def test_null_coordinates(spark):
+    """A missing coordinate is no distance: such points are near nothing."""
+    from waymark.operators import proximity
+
+    df = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 0.0), (3, 0.0, None), (4, float("nan"), 0.0)], "k int, lat double, lng double")
+    got = {r.k: r.km for r in df.select("k", geo.haversine_km("lat", "lng", F.lit(0.0), F.lit(1.0)).alias("km")).collect()}
+    assert got[2] is None and got[3] is None and math.isnan(got[4]) and 111 < got[1] < 112
+    line = df.select("k", geo.line_distance_km(F.col("lat"), F.col("lng"), *(F.lit(float(x)) for x in (0, -1, 0, 1))).alias("km"))
+    assert {r.k: r.km for r in line.where("k < 4").collect()} == {1: 0.0, 2: None, 3: None}
+    known = df.where("k < 4")
+    to = known.withColumnRenamed("k", "c")
+    assert [tuple(r) for r in proximity.range_join(known, to, 20_100).select("k", "c").collect()] == [(1, 1)]
+    assert [tuple(r) for r in proximity.nearest(known, to, "k", "c").select("k", "c").collect()] == [(1, 1)]
+    cells = {(r.k, r.c): r.km for r in proximity.distance_matrix(known, to, max_cells=9).collect()}
+    assert len(cells) == 9 and cells[1, 1] == 0 and cells[1, 2] is None and cells[2, 2] is None
+    with pytest.raises(DomainError):
+        proximity.distance_matrix(known, to, max_cells=8)

@@ -36,12 +36,14 @@ def shortest_lng_delta(start: Column | str, end: Column | str) -> Column:
 
 
 def haversine_km(lat1: Column | str, lng1: Column | str, lat2: Column | str, lng2: Column | str) -> Column:
-    """Great-circle distance."""
+    """Great-circle distance; null where a coordinate is null."""
     a, b = _c(lat1), _c(lat2)
     up = F.sin(F.radians(b - a) / 2)
     side = F.sin(F.radians(shortest_lng_delta(lng1, lng2)) / 2)
     h = up * up + F.cos(F.radians(a)) * F.cos(F.radians(b)) * side * side
-    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    # rounding can bring h a little above 1, where the arc sine is NaN; a coordinate that is NaN stays so
+    most = F.lit(math.pi / 2) + (a + b + _c(lng1) + _c(lng2)) * 0.0
+    return F.lit(2 * EARTH_RADIUS_KM) * F.nanvl(F.asin(F.sqrt(h)), most)
 
 
 def duration_min(km: Column | str, speed_kmh: Column | float) -> Column:
@@ -84,7 +86,8 @@ def line_distance_km(lat: Column, lng: Column, lat1: Column, lng1: Column, lat2:
     base = haversine_km(lat1, lng1, lat2, lng2)
     left, right = haversine_km(lat1, lng1, lat, lng), haversine_km(lat2, lng2, lat, lng)
     half = (base + left + right) / 2
-    area = F.sqrt(F.greatest(F.lit(0.0), half * (half - base) * (half - left) * (half - right)))
+    inner = half * (half - base) * (half - left) * (half - right)
+    area = F.when(inner <= 0, F.lit(0.0)).otherwise(F.sqrt(inner))
     return F.when(base == 0, left).otherwise(2 * area / base)
 
 
@@ -132,9 +135,14 @@ def np_spherical_mean(lat: np.ndarray, lng: np.ndarray) -> tuple[float, float]:
         raise DomainError("EMPTY", "Cannot compute centroid of empty set")
     a, b = np.radians(lat), np.radians(lng)
     x, y, z = (float(v.sum()) for v in (np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)))
+    return mean_of_sums(x, y, z, float(np.mean(lat)), float(np.mean(lng)))
+
+
+def mean_of_sums(x: float, y: float, z: float, plain_lat: float, plain_lng: float) -> tuple[float, float]:
+    """Mean direction of the sums of some unit vectors, or the plain mean where they cancel out."""
     flat = math.hypot(x, y)
     if flat < NO_DIRECTION and abs(z) < NO_DIRECTION:
-        return float(np.mean(lat)), float(np.mean(lng))
+        return plain_lat, plain_lng
     return math.degrees(math.atan2(z, flat)), float(np_normalize_lng(np.array([math.degrees(math.atan2(y, x))]))[0])
 
 

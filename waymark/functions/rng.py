@@ -8,17 +8,13 @@ _MASK = 0xFFFFFFFF
 class Mulberry32:
     """Numbers in [0, 1), the same sequence for the same seed on every platform."""
 
-    # fixed values of the generator
-    STEP = 0x6D2B79F5
-    SHIFTS = (15, 7, 14)
-    ODD = (1, 61)
-
     def __init__(self, seed: int):
         self.state = seed & _MASK
 
     def random(self) -> float:
-        self.state = (self.state + self.STEP) & _MASK
+        # the step, the shifts and the odd terms are fixed values of the generator
+        self.state = (self.state + 0x6D2B79F5) & _MASK
         z = self.state
-        z = ((z ^ z >> self.SHIFTS[0]) * (z | self.ODD[0])) & _MASK
-        z ^= (z + (((z ^ z >> self.SHIFTS[1]) * (z | self.ODD[1])) & _MASK)) & _MASK
-        return (z ^ z >> self.SHIFTS[2]) / 2**32
+        z = ((z ^ z >> 15) * (z | 1)) & _MASK
+        z ^= (z + (((z ^ z >> 7) * (z | 61)) & _MASK)) & _MASK
+        return (z ^ z >> 14) / 2**32

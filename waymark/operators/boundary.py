@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from waymark.errors import DomainError
 from waymark.functions.geo import distinct_points, normalize_lng, np_normalize_lng
+from waymark.session import cut_lineage
 
-#: Parts that the longitudes of a group are searched in, and parts that its points are hulled in.
+#: Parts that the longitudes of a group are searched in, and points that are hulled at once.
 STRIPS = 3600
-HULL_PARTS = 64
+HULL_POINTS = 100_000
 
 
 def unique_points(points: DataFrame, *keys: str, order: str = "idx") -> DataFrame:
@@ -86,14 +87,15 @@ def hull_indices(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def convex_hull(points: DataFrame, key: str) -> DataFrame:
     """Corners of each group's hull, planar in degrees: ``(key, seq, lat, lng)``, counter-clockwise from the west.
 
-    Longitudes are shifted past 180 for groups that cross the antimeridian and come back wrapped. The points of a group
-    are hulled in parts first, then the corners of the parts, so a large group is no single task's work.
+    Longitudes are shifted past 180 for groups that cross the antimeridian and come back wrapped. A group of more than
+    ``HULL_POINTS`` points is hulled in parts of about that size, and so are the corners of the parts, until few are left
+    (or all are corners): a large group is no single task's work.
     """
     arcs = lng_window(points, key).select(key, "west", "crosses")
     x = normalize_lng("lng")
     rows = points.select(key, "lat", x.alias("lng")).distinct().join(arcs, key)
     rows = rows.withColumn("x", F.when(F.col("crosses") & (F.col("lng") < F.col("west")), F.col("lng") + 360.0).otherwise(F.col("lng")))
-    rows = rows.select(key, F.pmod(F.xxhash64("lat", "lng"), F.lit(HULL_PARTS)).cast("int").alias("part"), "lat", "lng", "x")
+    rows = cut_lineage(rows.select(key, "lat", "lng", "x"))
     kind = rows.schema[key].dataType.simpleString()
 
     def corners(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -103,8 +105,16 @@ def convex_hull(points: DataFrame, key: str) -> DataFrame:
         out = corners(pdf)
         return pd.DataFrame({key: out[key], "seq": np.arange(len(out), dtype=np.int32), "lat": out["lat"], "lng": out["lng"]})
 
-    parts = rows.groupBy(key, "part").applyInPandas(corners, rows.schema)
-    return parts.groupBy(key).applyInPandas(final, f"{key} {kind}, seq int, lat double, lng double")
+    before = None
+    while True:
+        sizes = rows.groupBy(key).agg(F.count("*").alias("_n"))
+        total = sizes.agg(F.max("_n").alias("most"), F.sum("_n").alias("all")).first()
+        if (total["most"] or 0) <= HULL_POINTS or total["all"] == before:
+            return rows.groupBy(key).applyInPandas(final, f"{key} {kind}, seq int, lat double, lng double")
+        before = total["all"]
+        part = F.pmod(F.xxhash64("lat", "lng"), F.ceil(F.col("_n") / HULL_POINTS)).alias("_part")
+        dealt = rows.join(sizes, key).select(*rows.columns, part)
+        rows = cut_lineage(dealt.groupBy(key, "_part").applyInPandas(corners, dealt.schema).drop("_part"))
 
 
 def point_in_polygon(lat: Column, lng: Column, polygon: Column) -> Column:

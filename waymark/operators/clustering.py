@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from waymark.errors import CLUSTER_FAIL, DomainError, as_service_error
 from waymark.functions.geo import (
     haversine_km,
+    mean_of_sums,
     np_haversine_km,
     np_normalize_lng,
     np_spherical_mean,
@@ -27,8 +28,6 @@ MAX_ROUNDS = 50
 DEFAULT_SEED = 42
 DEFAULT_MIN_PTS = 2
 NOISE = -1
-#: Points that the seeds of large_kmeans are drawn from.
-SEED_SAMPLE = 20_000
 
 
 # ---- one request -------------------------------------------------------------------------------------------------
@@ -182,37 +181,101 @@ def large_dbscan(points: DataFrame, key: str, eps_km: float, min_pts: int = DEFA
 
 
 def large_kmeans(points: DataFrame, key: str, k: int, seed: int = DEFAULT_SEED, rounds: int = MAX_ROUNDS) -> tuple[DataFrame, list[tuple[float, float]]]:
-    """``(key, cluster_id)`` of a table of any size, and the centres.
+    """``(key, cluster_id)`` of a table of any size, and the centres, by the rules of ``kmeans_labels`` on points in the
+    order of their keys. Points without coordinates take no part in the centres and get a null ``cluster_id``.
 
-    Seeds are drawn from at most ``SEED_SAMPLE`` points (least hash of the key first, then by key; a smaller table is
-    settled on the driver, as by ``kmeans_labels``). Otherwise a round assigns each point by an expression over the centres and averages by
-    one aggregation with map-side sums; k rows come to the driver.
+    Points are dealt out by ranges of the key. Seeds are drawn from all of them: the weight of each range says in which
+    one a draw falls, and that range alone is added up point by point. A round hands on the sums of each centre's points,
+    ``k`` rows a task.
     """
     if k < 1:
         raise DomainError("INVALID_K", "k must be at least 1")
-    rows = points.select(key, "lat", "lng").persist()
-    sample = rows.where("lat is not null and lng is not null").orderBy(F.xxhash64(key), key).limit(SEED_SAMPLE).toPandas().sort_values(key)
-    if not len(sample):
+    every = points.select(key, "lat", "lng")
+    ranges = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = every.where("lat is not null and lng is not null").repartitionByRange(ranges, key).sortWithinPartitions(key)
+    rows = cut_lineage(placed.select(F.spark_partition_id().alias("part"), "lat", "lng"))
+    centers = _drawn_centers(rows, k, Mulberry32(seed))
+    if not len(centers):
         raise DomainError("EMPTY", "kmeans requires at least one point")
-    lat, lng = sample["lat"].to_numpy(np.float64), sample["lng"].to_numpy(np.float64)
-    different = len(np.unique(np.column_stack((lat, np_normalize_lng(lng))), axis=0))
-    start = seed_centers(lat, lng, min(k, different), Mulberry32(seed))
-    if len(sample) < SEED_SAMPLE:  # the whole table
-        start, rounds = _settled(lat, lng, start, rounds)[0], 0
-    centers = [tuple(map(float, c)) for c in start]
-    mean = spherical_mean("lat", "lng")
+    for _ in range(rounds):
+        new, _ = _means(rows, centers)
+        settled = np.abs(new - centers).max() < 1e-9
+        centers = new
+        if settled:
+            break
+    used = np.flatnonzero(_means(rows, centers)[1])
+    kept = [tuple(map(float, c)) for c in centers[used]]
+    listed = F.array(*(F.struct(haversine_km(F.col("lat"), F.col("lng"), F.lit(a), F.lit(b)).alias("km"), F.lit(i).alias("i")) for i, (a, b) in enumerate(kept)))
+    return every.select(key, F.when(F.col("lat").isNotNull() & F.col("lng").isNotNull(), F.array_min(listed)["i"]).alias("cluster_id")), kept
+
+
+def _means(rows: DataFrame, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The means of the points nearest to each centre (a centre without points stays), and how many those are."""
+    k = len(centers)
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((k, 6))
+        for pdf in batches:
+            lat, lng = pdf["lat"].to_numpy(np.float64), pdf["lng"].to_numpy(np.float64)
+            label, a, b = _to_centers(lat, lng, centers).argmin(axis=1), np.radians(lat), np.radians(lng)
+            for i, x in enumerate((None, np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a), lat, lng)):
+                total[:, i] += np.bincount(label, weights=x, minlength=k)
+        yield pd.DataFrame({"c": np.arange(k)} | {name: total[:, i] for i, name in enumerate(names)})
+
+    names = ["n", "x", "y", "z", "lat", "lng"]
+    found = rows.mapInPandas(summed, "c int, " + ", ".join(f"{x} double" for x in names)).groupBy("c").agg(*(F.sum(x).alias(x) for x in names))
+    out, count = centers.copy(), np.zeros(k)
+    for c, n, *sums in found.collect():
+        count[c] = n
+        if n:
+            out[c] = mean_of_sums(*sums[:3], sums[3] / n, sums[4] / n)
+    return out, count
+
+
+def _drawn_centers(rows: DataFrame, k: int, random: Mulberry32) -> np.ndarray:
+    """The seeds that ``seed_centers`` draws, from ``rows`` (part, lat, lng) that lie in the order of their keys.
+
+    There are at most as many as different points: once all weights are zero, no further seed is drawn.
+    """
+    chosen = np.zeros((0, 2))
 
-    def assigned(now: list[tuple[float, float]]) -> DataFrame:
-        listed = F.array(*(F.struct(haversine_km(F.col("lat"), F.col("lng"), F.lit(a), F.lit(b)).alias("km"), F.lit(i).alias("i")) for i, (a, b) in enumerate(now)))
-        return rows.withColumn("cluster_id", F.array_min(listed)["i"])
+    def weights(pdf: pd.DataFrame) -> np.ndarray:
+        lat, lng = pdf["lat"].to_numpy(np.float64), pdf["lng"].to_numpy(np.float64)
+        return _to_centers(lat, lng, chosen).min(axis=1) ** 2 if len(chosen) else np.ones(len(pdf))
 
-    for _ in range(rounds):
-        means = {r["cluster_id"]: (r["la"], r["ln"]) for r in assigned(centers).groupBy("cluster_id").agg(mean["lat"].alias("la"), mean["lng"].alias("ln")).collect()}
-        new = [means.get(i, c) for i, c in enumerate(centers)]
-        if max(abs(a - b) for x, y in zip(new, centers) for a, b in zip(x, y)) < 1e-9:
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"part": pdf["part"].iloc[:1], "w": [weights(pdf).sum()]})
+
+    while len(chosen) < k:
+        found = rows.mapInPandas(summed, "part int, w double").groupBy("part").agg(F.sum("w").alias("w")).collect()
+        sums = sorted((r["part"], r["w"]) for r in found if r["w"] > 0)
+        if not sums:
             break
-        centers = new
-    rows.unpersist()
-    used = sorted(r["cluster_id"] for r in assigned(centers).select("cluster_id").distinct().collect())
-    number = F.array_position(F.array(*map(F.lit, used)), F.col("cluster_id")).cast("int") - 1
-    return assigned(centers).select(key, number.alias("cluster_id")), [centers[i] for i in used]
+        # the first seed is any point with equal chances: a draw of a whole number
+        left = random.random() * sum(w for _, w in sums)
+        left = left if len(chosen) else int(left) + 0.5
+        at = 0
+        while at + 1 < len(sums) and left > sums[at][1]:
+            left -= sums[at][1]
+            at += 1
+
+        def drawn(batches: Iterator[pd.DataFrame], rest: float = left) -> Iterator[pd.DataFrame]:
+            last = None
+            for pdf in batches:
+                w = weights(pdf)
+                some = np.flatnonzero(w > 0)
+                if not len(some):
+                    continue
+                behind = np.subtract.accumulate(np.concatenate(([rest], w[some])))[1:]
+                hit = np.flatnonzero(behind <= 0)
+                last, rest = pdf.iloc[[some[hit[0]] if len(hit) else some[-1]]], float(behind[-1])
+                if len(hit):
+                    break
+            if last is not None:  # of a draw that rounding leaves over: the last point
+                yield last[["lat", "lng"]]
+
+        one = rows.where(F.col("part") == sums[at][0]).mapInPandas(drawn, "lat double, lng double").first()
+        chosen = np.vstack((chosen, [[one["lat"], one["lng"]]]))
+    return chosen

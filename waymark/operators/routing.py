@@ -35,10 +35,21 @@ def tour_length(order: np.ndarray, km: np.ndarray, closed: bool) -> float:
     return total + float(km[order[-1], order[0]]) if closed and len(order) > 1 else total
 
 
+def _orders(n: int, start: int) -> np.ndarray:
+    """All orders that begin at ``start``, a row each: every place is swapped in turn with each place behind it."""
+    orders = np.array([[start, *(i for i in range(n) if i != start)]])
+    for place in range(1, n - 1):
+        orders = np.repeat(orders, n - place, axis=0)
+        row = np.arange(len(orders))
+        other = place + row % (n - place)
+        here, there = orders[row, place], orders[row, other]
+        orders[row, place], orders[row, other] = there, here
+    return orders
+
+
 def _exact(n: int, start: int, cost: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The best of all orders: least lateness, then least distance, then first in lexicographic order."""
-    others = [i for i in range(n) if i != start]
-    orders = np.array([(start, *p) for p in itertools.permutations(others)])
+    """The best of all orders: least lateness, then least distance, then the first of ``_orders``."""
+    orders = _orders(n, start)
     late, km = cost(orders)
     fine = np.flatnonzero(late <= late.min() + TIE)
     return orders[fine[np.flatnonzero(km[fine] <= km[fine].min() + TIE)[0]]]
@@ -183,29 +194,28 @@ def lateness(orders: np.ndarray, stops: Stops, costs: Costs) -> np.ndarray:
 
 def schedule(order: list[int], stops: Stops, costs: Costs) -> dict:
     """Arrivals, waits and departures along an order, and what is late; the depot is only due on the way back."""
-    clock = km = 0.0
-    visits, violations = [], []
-
-    def overdue(at: int, back: bool) -> float:
-        late = 0.0 if math.isnan(stops.due[at]) else max(0.0, clock - stops.due[at])
-        if late > 0:
-            violations.append({"index": at, "arrival_min": clock, "due_time_min": float(stops.due[at]), "late_min": late, "return_to_depot": True if back else None})
-        return late
-
-    for before, at in zip([None, *order], order):
-        if before is not None:
-            km += float(costs.km[before, at])
-            clock += float(costs.minutes[before, at])
-        arrival = clock
-        late = 0.0 if before is None else overdue(at, False)
-        wait = max(0.0, np.nan_to_num(stops.ready[at]) - arrival)
-        clock += float(wait + np.nan_to_num(stops.service[at]))
-        visits.append({"index": at, "arrival_min": arrival, "wait_min": float(wait), "departure_min": clock, "late_min": late if late > 0 else None})
-    if costs.closed and len(order) > 1:
-        km += float(costs.km[order[-1], order[0]])
-        clock += float(costs.minutes[order[-1], order[0]])
-        overdue(order[0], True)
-    return {"stops": visits, "violations": violations, "distance_km": km, "duration_min": clock}
+    at = np.array(order, int)
+    path = np.append(at, at[0]) if costs.closed and len(at) > 1 else at
+    legs = np.concatenate(([0.0], costs.minutes[path[:-1], path[1:]]))
+    ready, service, due = np.nan_to_num(stops.ready[path]), np.nan_to_num(stops.service[path]), stops.due[path]
+    # a departure follows from the one before it, as in ``schedule_orders``
+    left = np.fromiter(itertools.accumulate(zip(legs, ready, service), lambda clock, x: max(clock + x[0], x[1]) + x[2], initial=0.0), float)
+    arrival, departure = left[:-1] + legs, left[1:]
+    late = np.where(np.arange(len(path)) > 0, np.fmax(arrival - due, 0.0), 0.0)
+    wait = np.maximum(ready - arrival, 0.0)
+    visits = [
+        {"index": i, "arrival_min": a, "wait_min": w, "departure_min": d, "late_min": x if x > 0 else None}
+        for i, a, w, d, x in zip(at.tolist(), arrival.tolist(), wait.tolist(), departure.tolist(), late.tolist())
+    ]
+    violations = [
+        {"index": int(path[k]), "arrival_min": float(arrival[k]), "due_time_min": float(due[k]), "late_min": float(late[k]), "return_to_depot": True if k == len(at) else None}
+        for k in np.flatnonzero(late > 0).tolist()
+    ]
+    back = len(path) > len(at)
+    return {
+        "stops": visits, "violations": violations, "distance_km": tour_length(at, costs.km, costs.closed),
+        "duration_min": float(arrival[-1] if back else departure[-1]) if len(at) else 0.0,
+    }
 
 
 def _repair(order: np.ndarray, stops: Stops, costs: Costs) -> np.ndarray:
@@ -265,44 +275,36 @@ def sweep(stops: Stops, depot: int) -> list[int]:
     east = np_normalize_lng(stops.lng[others] - stops.lng[depot]) * math.cos(math.radians(stops.lat[depot]))
     angle = np.arctan2(stops.lat[others] - stops.lat[depot], east)
     order = np.lexsort((others, angle))
-    angle = angle[order]
-    gaps = angle - np.concatenate(([angle[-1] - 2 * math.pi], angle[:-1]))
-    start, widest = 0, -math.inf
-    for i, gap in enumerate(gaps):
-        if gap > widest + TIE:
-            start, widest = i, gap
-    return np.roll(others[order], -start).tolist()
+    gaps = np.diff(angle[order], prepend=angle[order[-1]] - 2 * math.pi)
+    # of gaps within the tolerance of the widest, the first
+    return np.roll(others[order], -int((gaps >= gaps.max() - TIE).argmax())).tolist()
 
 
 def assign(stops: Stops, depot: int, vehicles: int, capacity: float | None) -> tuple[list[list[int]], list[int]]:
     """Stops of each vehicle that has any (depot first), and stops that none can take.
 
-    Along the sweep a vehicle is filled until it has its even share or the next stop does not fit, and is then left for
-    good; stops that remain go to the first vehicle with room, whatever its share.
+    The sweep is cut into runs, one a vehicle: as long as its even share, but no longer than its capacity reaches. What
+    is left behind the last run goes stop by stop to the first vehicle with room, whatever its share.
     """
-    order = sweep(stops, depot)
-    demand = np.nan_to_num(stops.demand)
-    room = [math.inf if capacity is None else capacity] * vehicles
-    share = [len(order) // vehicles + (v < len(order) % vehicles) for v in range(vehicles)]
-    taken: list[list[int]] = [[] for _ in range(vehicles)]
-    unassigned, later = [], []
-
-    def take(v: int, at: int) -> None:
-        taken[v].append(at)
-        room[v] -= demand[at]
-
-    v = 0
-    for at in order:
-        if capacity is not None and demand[at] > capacity:
-            unassigned.append(at)
-            continue
-        while v < vehicles and (len(taken[v]) >= share[v] or demand[at] > room[v]):
-            v += 1
-        take(v, at) if v < vehicles else later.append(at)
-    for at in later:
-        fitting = next((v for v in range(vehicles) if demand[at] <= room[v]), None)
-        take(fitting, at) if fitting is not None else unassigned.append(at)
-    return [[depot, *t] for t in taken if t], sorted(unassigned)
+    order = np.array(sweep(stops, depot), int)
+    demand, most = np.nan_to_num(stops.demand), math.inf if capacity is None else capacity
+    fitting = order[demand[order] <= most]
+    load, groups, done = np.zeros(vehicles), [], 0
+    for vehicle, run in enumerate(np.array_split(order, vehicles)):
+        reach = np.cumsum(demand[fitting[done : done + len(run)]])
+        n = int(np.append(reach > most, True).argmax())
+        groups.append([depot, *fitting[done : done + n].tolist()])
+        load[vehicle] = reach[n - 1] if n else 0.0
+        done += n
+    unassigned = order[demand[order] > most].tolist()
+    for stop in fitting[done:].tolist():
+        room = np.flatnonzero(load + demand[stop] <= most)
+        if len(room):
+            groups[room[0]].append(stop)
+            load[room[0]] += demand[stop]
+        else:
+            unassigned.append(stop)
+    return [group for group in groups if len(group) > 1], sorted(unassigned)
 
 
 def check(stops: Stops, km: np.ndarray, minutes: np.ndarray, depot: int) -> None:

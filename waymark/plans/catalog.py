@@ -6,13 +6,15 @@ Spark and for DuckDB. Results are rounded as the public operations round them.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waymark.errors import redact_column
+from waymark.errors import MASK, PARAMETER, USER_INFO, redact_column
 from waymark.functions.geo import (
     distinct_points,
     duration_min,
@@ -26,8 +28,10 @@ from waymark.functions.geo import (
     spherical_mean,
 )
 from waymark.functions.geojson import feature_collection_column, kept_by_simplification, simplify_column, validate_column
+from waymark.functions.rng import Mulberry32
 from waymark.operators import boundary, clustering, proximity, routing
 from waymark.operators.requests import answer_requests
+from waymark.session import checkpoint_dir, cut_lineage
 from waymark.sources.geocoding import gazetteer_lookup
 from waymark.streaming import geofence
 
@@ -112,7 +116,7 @@ select c_custkey, s_suppkey, {sql_round('km', 3)} as km, {sql_round('km/40.0e0*6
 from (select c_custkey, s_suppkey, {sql_km('c.lat', 'c.lng', 's.lat', 's.lng')} as km from {CUSTOMERS} c cross join {SUPPLIERS} s)
 """)
 def distance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return proximity.distance_matrix(customers(spark, sf_dir).drop("c_nationkey"), suppliers(spark, sf_dir).drop("s_nationkey"))
+    return proximity.distance_matrix(customers(spark, sf_dir).drop("c_nationkey"), suppliers(spark, sf_dir).drop("s_nationkey"), max_cells=None)
 
 
 @query(f"""
@@ -206,9 +210,12 @@ def line_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers(spark, sf_dir).select("c_custkey", round_km(line_distance_km(F.col("lat"), F.col("lng"), *at)).alias("km"))
 
 
-@query(r"""
-select page_id, regexp_replace(regexp_replace(u, '([?&](?:key|access_token|token|api_key|apikey)=)[^&#\s"''\\]*', '\1REDACTED', 'gi'),
-  '(\b[a-z][a-z0-9+.-]*://)[^/\s@"''\\]+@', '\1REDACTED@', 'gi') as redacted
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query(f"""
+select page_id, regexp_replace(regexp_replace(u, {_sql_text(PARAMETER)}, '\\1{MASK}', 'g'), {_sql_text(USER_INFO)}, '\\1{MASK}@', 'g') as redacted
 from (select page_id, 'GET ' || replace(url, '://', '://user' || page_id || ':pw@') || '&Token=t' || page_id || '&k=1' as u from pages)
 """)
 def redact_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -311,11 +318,11 @@ def stream_geofence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream of points, matched with a fence, run until all files are read."""
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"fenced_{uuid.uuid4().hex}"
+    folder = f"{checkpoint_dir(spark)}/fenced-{uuid.uuid4()}"
     matched = geofence(points(stream, "event_id"), {3: POLYGONS[3]}).select("event_id", "poly_id")
-    running = matched.writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+    running = matched.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     running.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(matched.schema).parquet(f"{folder}/rows")
 
 
 @query("""
@@ -358,20 +365,78 @@ def dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.large_dbscan(p, "c_custkey", TOWN_EPS, TOWN_MIN)
 
 
-@query()
+def _sql_mean(lat: str = "lat", lng: str = "lng") -> tuple[str, str]:
+    x, y, z = f"sum(cos(radians({lat}))*cos(radians({lng})))", f"sum(cos(radians({lat}))*sin(radians({lng})))", f"sum(sin(radians({lat})))"
+    return f"degrees(atan2({z}, sqrt({x}*{x} + {y}*{y})))", f"degrees(atan2({y}, {x}))"
+
+
+def _sql_kmeans(rows: str, k: int, seed: int = clustering.DEFAULT_SEED, rounds: int = clustering.MAX_ROUNDS) -> str:
+    """CTEs that end in ``labelled (g, id, lat, lng, c)``: k-means of each group of ``rows (g, id, lat, lng)``.
+
+    Every seed and every round is a CTE of its own; the draws of the generator stand in the text as numbers.
+    """
+    random = Mulberry32(seed)
+    mean = _sql_mean()
+    out = [
+        f"p as materialized (select *, row_number() over w as r, count(*) over (partition by g) as n from {rows} window w as (partition by g order by id))",
+        f"s0 as materialized (select g, 0 as c, lat, lng from p where r = 1 + cast(floor({random.random()!r}e0*n) as bigint))",
+        f"d0 as materialized (select p.*, {sql_km('p.lat', 'p.lng', 's0.lat', 's0.lng')} as km from p join s0 on p.g = s0.g)",
+    ]
+    for i in range(1, k):
+        out += [
+            f"w{i} as materialized (select *, sum(km*km) over (partition by g order by r) as up, sum(km*km) over (partition by g) as total from d{i - 1})",
+            f"s{i} as materialized (select g, {i} as c, coalesce(min_by(lat, r) filter (up >= {random.random()!r}e0*total), max_by(lat, r)) as lat, "
+            f"coalesce(min_by(lng, r) filter (up >= {{draw}}e0*total), max_by(lng, r)) as lng from w{i} where km > 0 and total > 0 group by g)",
+            f"d{i} as materialized (select d{i - 1}.* exclude (km), least(km, coalesce({sql_km(f'd{i - 1}.lat', f'd{i - 1}.lng', f's{i}.lat', f's{i}.lng')}, km)) as km "
+            f"from d{i - 1} left join s{i} on d{i - 1}.g = s{i}.g)",
+        ]
+        draw = out[-2].split("up >= ")[1].split("e0")[0]
+        out[-2] = out[-2].replace("{draw}", draw)
+    out.append("c0 as materialized (" + " union all ".join(f"select * from s{i}" for i in range(k)) + ")")
+    near = f"select p.g, p.id, p.lat, p.lng, arg_min(c.c, ({sql_km('p.lat', 'p.lng', 'c.lat', 'c.lng')}, c.c)) as c from p join c{{}} c on p.g = c.g group by p.g, p.id, p.lat, p.lng"
+    for t in range(1, rounds + 1):
+        out.append(
+            f"c{t} as materialized (select o.g, o.c, coalesce(m.lat, o.lat) as lat, coalesce(m.lng, o.lng) as lng from c{t - 1} o "
+            f"left join (select g, c, {mean[0]} as lat, {mean[1]} as lng from ({near.format(t - 1)}) group by g, c) m on o.g = m.g and o.c = m.c)"
+        )
+    out.append(f"labelled as (select g, id, lat, lng, dense_rank() over (partition by g order by c) - 1 as c from ({near.format(rounds)}))")
+    return ", ".join(out)
+
+
+@query(f"""
+with {_sql_kmeans(f'(select 0 as g, s_suppkey as id, lat, lng from {SUPPLIERS})', 8)} select id as s_suppkey, cast(c as integer) as cluster_id from labelled
+""")
 def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels, _ = clustering.large_kmeans(suppliers(spark, sf_dir), "s_suppkey", 8)
     return labels
 
 
-@query()
+CLUSTER_K, CLUSTER_EPS, CLUSTER_MIN = 3, 2500.0, 2
+
+
+@query(f"""
+with recursive {_sql_kmeans(f'(select s_nationkey as g, s_suppkey as id, lat, lng from {SUPPLIERS})', CLUSTER_K)},
+pairs as (select a.g, a.id as a, b.id as b from p a join p b on a.g = b.g and {sql_km('a.lat', 'a.lng', 'b.lat', 'b.lng')} <= {CLUSTER_EPS}e0),
+core as (select g, a from pairs group by g, a having count(*) >= {CLUSTER_MIN}),
+links as (select pairs.* from pairs join core x on pairs.a = x.a join core y on pairs.b = y.a),
+reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+comp as (select a, min(b) as c from reach group by a),
+num as (select p.g, p.id, p.lat, p.lng, dense_rank() over (partition by p.g order by comp.c) - 1 as c from p join comp on comp.a = p.id),
+lab as (select * from num union all
+  select p.g, p.id, p.lat, p.lng, min(num.c) from p join pairs on pairs.a = p.id join num on num.id = pairs.b where p.id not in (select a from comp) group by p.g, p.id, p.lat, p.lng),
+every as (select 'kmeans-' || g as request_id, c, lat, lng, cast(null as boolean) as noise from labelled
+  union all select 'dbscan-' || g, c, lat, lng, null from lab
+  union all select 'dbscan-' || p.g, coalesce(top, -1) + 1, lat, lng, true from p left join (select g, max(c) as top from lab group by g) t on p.g = t.g where p.id not in (select id from lab))
+select request_id, cast(c as integer) as id, cast(count(*) as integer) as size, {sql_round(_sql_mean()[0], 6)} as lat, {sql_round(_sql_mean()[1], 6)} as lng, any_value(noise) as noise
+from every group by request_id, c
+""")
 def cluster_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A k-means request and a DBSCAN request for each nation's suppliers."""
     s = suppliers(spark, sf_dir).withColumn("idx", (F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")) - 1).cast("int"))
     both = F.explode(F.array(F.lit("kmeans"), F.lit("dbscan")))
     p = s.withColumn("algorithm", both).withColumn("request_id", F.concat_ws("-", "algorithm", "s_nationkey"))
     options = p.select("request_id", "algorithm").distinct().select(
-        "request_id", "algorithm", F.lit(3).alias("k"), F.lit(2500.0).alias("eps_km"), F.lit(2).alias("min_pts"), F.lit(42).cast("long").alias("seed")
+        "request_id", "algorithm", F.lit(CLUSTER_K).alias("k"), F.lit(CLUSTER_EPS).alias("eps_km"), F.lit(CLUSTER_MIN).alias("min_pts"), F.lit(clustering.DEFAULT_SEED).cast("long").alias("seed")
     )
     found = clustering.clusters(p.select("request_id", "idx", "lat", "lng"), clustering.cluster_requests(p, options))
     return found.select("request_id", "id", "size", F.col("centroid.lat").alias("lat"), F.col("centroid.lng").alias("lng"), "noise")
@@ -434,9 +499,8 @@ def tsp_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shortest closed tours over requests of a few suppliers."""
     w = _requests(suppliers(spark, sf_dir), "s_suppkey", "s_nationkey", TSP_STOPS)
     counts = w.groupBy("request_id").agg(F.count("*").cast("int").alias("n_points"))
-    several = w.join(counts.where("n_points > 1"), "request_id", "left_semi")
-    routes = routing.optimize_routes(several, _options(several, 1, None))
-    length = routes.select("request_id", F.col("distance_km").alias("km"))
+    # a request of one stop is answered with an error, and has no length
+    length = routing.optimize_routes(w, _options(w, 1, None)).select("request_id", F.col("distance_km").alias("km"))
     return counts.join(length, "request_id", "left").select("request_id", "n_points", F.coalesce("km", F.lit(0.0)).alias("km"))
 
 
@@ -447,27 +511,186 @@ def _options(w: DataFrame, vehicles: int, capacity: float | None) -> DataFrame:
     )
 
 
-@query()
+def _sql_requests(rows: str, key: str, nation: str, size: int) -> str:
+    """What ``_requests`` gives: (q, i, k, lat, lng)."""
+    return f"""(select {nation}*100000 + cast(floor((r - 1)/{size}.0e0) as integer) as q, cast((r - 1) % {size} as integer) as i, {key} as k, lat, lng
+  from (select *, row_number() over (partition by {nation} order by {key}) as r from {rows}))"""
+
+
+def _sql_sweep(rows: str) -> str:
+    """CTEs that end in ``swept (q, i, k, seq, n)``: the stops of each request but its first, in sweep order."""
+    return f"""
+s as (select * from {rows}),
+ang as (select s.q, s.i, s.k, atan2(s.lat - b.lat, {sql_norm('s.lng - b.lng')}*cos(radians(b.lat))) as angle from s join s b on s.q = b.q and b.i = 0 where s.i > 0),
+gap as (select *, row_number() over w as pos, angle - coalesce(lag(angle) over w, max(angle) over (partition by q) - 2*pi()) as gap from ang
+  window w as (partition by q order by angle, i)),
+start as (select q, min(pos) as first, any_value(n) as n from (select q, pos, gap, max(gap) over (partition by q) as widest, count(*) over (partition by q) as n from gap)
+  where gap >= widest - 1e-9 group by q),
+swept as (select gap.q, i, k, (pos - first + n) % n as seq, n from gap join start on gap.q = start.q)"""
+
+
+VEHICLES, CAPACITY = 3, 40.0
+NO_ROUTE = "VRP requires at least two waypoints"
+
+
+def _sql_assigned() -> str:
+    """Vehicles by a scan of the sweep: the next stop goes on, to the next vehicle, or waits for the first with room."""
+    share = lambda v: f"(n // {VEHICLES} + case when {v} < n % {VEHICLES} then 1 else 0 end)"
+    return f"""
+with recursive {_sql_sweep(_sql_requests(CUSTOMERS, 'c_custkey', 'c_nationkey', VRP_STOPS))},
+stop as (select q, i, seq, n, 1.0e0 + k % 4 as demand from swept),
+walk(q, i, seq, n, demand, v, used, load) as (
+  select q, i, seq, n, demand, 0, 1, demand from stop where seq = 0
+  union all
+  select q, i, seq, n, demand, v, case when v = was then used + 1 else 1 end, case when v = was then load + demand else demand end from (
+    select x.*, w.used, w.load, w.v as was, case when w.v = {VEHICLES} or (w.used < {share('w.v').replace('(n', '(x.n').replace('< n', '< x.n')} and w.load + x.demand <= {CAPACITY}e0) then w.v
+      when w.v + 1 < {VEHICLES} and w.v + 1 < x.n then w.v + 1 else {VEHICLES} end as v
+    from walk w join stop x on x.q = w.q and x.seq = w.seq + 1)),
+later as (select *, row_number() over (partition by q order by seq) as turn from walk where v = {VEHICLES}),
+fill(q, i, turn, demand, loads, v) as (
+  select q, cast(null as integer), cast(0 as bigint), 0.0e0, [{', '.join(f'coalesce(sum(demand) filter (v = {v}), 0.0e0)' for v in range(VEHICLES))}], cast(null as integer) from walk group by q
+  union all
+  select q, i, turn, demand, list_transform(loads, lambda x, j: case when j = coalesce(fit, 0) then x + demand else x end), fit - 1 from (
+    select l.q, l.i, l.turn, l.demand, f.loads, list_position(list_transform(f.loads, lambda x: x + l.demand <= {CAPACITY}e0), true) as fit
+    from fill f join later l on l.q = f.q and l.turn = f.turn + 1)),
+placed as (select q, v, demand from walk where v < {VEHICLES} union all select q, v, demand from fill where v is not null),
+total as (select q, v, count(*) as n, sum(demand) as demand, dense_rank() over (partition by q order by v) - 1 as vehicle from placed group by q, v)
+select s.q as request_id, cast(t.vehicle as integer) as vehicle_id, cast(t.n + 1 as integer) as n_stops, t.demand,
+  cast((select count(*) from s x where x.q = s.q) - 1 - (select sum(n) from total x where x.q = s.q) as integer) as n_unassigned,
+  case when t.n is not null then true end as each_once, case when t.n is not null then true end as on_time, case when t.n is not null then true end as not_above_greedy,
+  case when t.n is null then '{NO_ROUTE}' end as error
+from s left join total t on s.q = t.q where s.i = 0
+"""
+
+
+def _audited(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Whether a route's times and length follow from its order, and whether always going to the nearest stop left is no
+    better (less late, or as late and shorter), reckoned stop by stop."""
+    rows = pdf.sort_values("pos").to_dict("records")
+
+    def km(a: dict, b: dict) -> float:
+        side = math.sin(math.radians((b["lng"] - a["lng"] + 180) % 360 - 180) / 2) ** 2 * math.cos(math.radians(a["lat"])) * math.cos(math.radians(b["lat"]))
+        return 12742.0 * math.asin(min(1.0, math.sqrt(math.sin(math.radians(b["lat"] - a["lat"]) / 2) ** 2 + side)))
+
+    def followed(order: list[dict]) -> tuple[float, float, list[tuple[float, float]]]:
+        clock = length = late = 0.0
+        times = []
+        for before, at in zip([None, *order], [*order, order[0]]):
+            leg = km(before, at) if before else 0.0
+            length, clock = length + leg, clock + leg / 40.0 * 60.0
+            late += max(0.0, clock - at["due_time_min"]) if before and at["due_time_min"] == at["due_time_min"] else 0.0
+            times.append((clock, clock + at["service_time_min"]))
+            clock = times[-1][1]
+        return late, length, times
+
+    late, length, times = followed(rows)
+    right = all(abs(a - r["arrival_min"]) < 0.006 and abs(d - r["departure_min"]) < 0.006 for r, (a, d) in zip(rows, times))
+    left, order = sorted(rows[1:], key=lambda r: r["idx"]), [rows[0]]
+    while left:
+        order.append(min(left, key=lambda r: km(order[-1], r)))
+        left.remove(order[-1])
+    greedy = followed(order)
+    better = late < greedy[0] - 1e-6 or (late <= greedy[0] + 1e-6 and length <= greedy[1] + 1e-6)
+    return pd.DataFrame({
+        "request_id": [rows[0]["request_id"]], "vehicle_id": [rows[0]["vehicle_id"]], "demand": [sum(r["demand"] for r in rows[1:])],
+        "each_once": [len({r["idx"] for r in rows}) == len(rows) and rows[0]["idx"] == 0], "on_time": [right and abs(length - rows[0]["distance_km"]) < 0.0006], "not_above_greedy": [better],
+    })
+
+
+@query(_sql_assigned())
 def vrp_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Routes of three vehicles with a capacity and due times, over requests of up to forty customers."""
+    """Routes of three vehicles with a capacity and due times, over requests of up to forty customers, audited.
+
+    The stops and the load of each vehicle are SQL's too; that a route serves each of its stops once, that its times and
+    length follow from its order, and that it is not above the greedy tour is reckoned again from its stops.
+    """
     w = _requests(customers(spark, sf_dir), "c_custkey", "c_nationkey", VRP_STOPS)
     w = w.select(
         "request_id", "idx", "lat", "lng", F.expr("1 + c_custkey % 4").cast("double").alias("demand"),
         F.when(F.col("idx") % 9 == 4, F.lit(60000.0)).alias("due_time_min"), F.lit(10.0).alias("service_time_min"),
     )
-    several = w.join(w.groupBy("request_id").count().where("count > 1"), "request_id", "left_semi")
-    routes = routing.optimize_routes(several, _options(several, 3, 40.0))
-    return routes.select("request_id", "vehicle_id", F.size("stops").alias("n_stops"), "distance_km", "duration_min", "demand", F.size("violations").alias("n_violations"))
+    routes = cut_lineage(routing.optimize_routes(w, _options(w, VEHICLES, CAPACITY)))
+    visits = routes.select("request_id", "vehicle_id", "distance_km", F.posexplode("stops").alias("pos", "stop"))
+    visits = visits.select("request_id", "vehicle_id", "distance_km", "pos", F.col("stop.index").alias("idx"), "stop.arrival_min", "stop.departure_min").join(w, ["request_id", "idx"])
+    kind = w.schema["request_id"].dataType.simpleString()
+    audit = visits.groupBy("request_id", "vehicle_id").applyInPandas(
+        _audited, f"request_id {kind}, vehicle_id int, demand double, each_once boolean, on_time boolean, not_above_greedy boolean"
+    )
+    shown = routes.select("request_id", "vehicle_id", F.size("stops").alias("n_stops"), F.size("unassigned").alias("n_unassigned"), "error").join(audit, ["request_id", "vehicle_id"], "left")
+    return shown.select("request_id", "vehicle_id", F.when(F.col("error").isNull(), F.col("n_stops")).alias("n_stops"), "demand",
+                        F.when(F.col("error").isNull(), F.col("n_unassigned")).alias("n_unassigned"), "each_once", "on_time", "not_above_greedy", "error")
+
+
+def _sql_best(groups: str, measured: str = "") -> str:
+    """CTEs that end in ``best (q, v, n, km)``: the shortest closed tour of each group of ``groups`` (q, v, j, lat, lng),
+    whose j count from 0, the depot."""
+    return f"""
+m as (select * from {groups}),
+size as (select q, v, count(*) as n from m group by q, v),
+leg as (select a.q, a.v, a.j, b.j as to_j, {sql_km('a.lat', 'a.lng', 'b.lat', 'b.lng')} as km from m a join m b on a.q = b.q and a.v = b.v),
+tour(q, v, j, seen, km, n) as (
+  select q, v, 0, 1, 0.0e0, 1 from size
+  union all select t.q, t.v, leg.to_j, t.seen | (1 << leg.to_j), t.km + leg.km, t.n + 1 from tour t join leg on leg.q = t.q and leg.v = t.v and leg.j = t.j and (t.seen & (1 << leg.to_j)) = 0),
+best as (select t.q, t.v, size.n, min(t.km + leg.km) as km from tour t join size on size.q = t.q and size.v = t.v and size.n = t.n
+  join leg on leg.q = t.q and leg.v = t.v and leg.j = t.j and leg.to_j = 0 group by t.q, t.v, size.n)"""
 
 
-@query()
+#: Requests of so many stops leave each of two vehicles few enough for the exact search, which SQL can follow.
+SUMMARY_STOPS = 12
+
+
+@query(f"""
+with recursive {_sql_sweep(_sql_requests(SUPPLIERS, 's_suppkey', 's_nationkey', SUMMARY_STOPS))},
+half as (select q, i, seq, ntile(2) over (partition by q order by seq) as v from swept),
+{_sql_best("(select half.q, half.v, cast(row_number() over (partition by half.q, half.v order by seq) as integer) as j, lat, lng from half join s on s.q = half.q and s.i = half.i"
+           " union all select distinct half.q, half.v, 0, lat, lng from half join s on s.q = half.q and s.i = 0)")}
+select s.q as request_id, count(best.v) > 0 as feasible, {sql_round('coalesce(sum(' + sql_round('best.km', 3) + '), 0)', 3)} as km,
+  {sql_round('coalesce(sum(' + sql_round('best.km/40.0e0*60', 2) + '), 0)', 2)} as minutes, count(best.v) as n_routes
+from s left join best on best.q = s.q where s.i = 0 group by s.q
+""")
 def route_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = _requests(suppliers(spark, sf_dir), "s_suppkey", "s_nationkey", VRP_STOPS).select("request_id", "idx", "lat", "lng")
-    several = w.join(w.groupBy("request_id").count().where("count > 1"), "request_id", "left_semi")
-    found = routing.route_summary(routing.optimize_routes(several, _options(several, 2, None)))
+    """Totals of two vehicles each; a request of one stop has no routes and is not feasible."""
+    w = _requests(suppliers(spark, sf_dir), "s_suppkey", "s_nationkey", SUMMARY_STOPS).select("request_id", "idx", "lat", "lng")
+    found = routing.route_summary(routing.optimize_routes(w, _options(w, 2, None)))
     return found.select("request_id", "feasible", round_km("total_distance_km").alias("km"), round_min("total_duration_min").alias("minutes"), "n_routes")
 
 
+_WINDOW = {
+    "ready_time_min": "case when s_suppkey % 3 = 0 then ((s_suppkey*11) % 400)*10.0e0 end",
+    "due_time_min": "case when s_suppkey % 2 = 0 then 4000.0e0 + ((s_suppkey*13) % 300)*60.0e0 end",
+    "service_time_min": "(s_suppkey % 5)*2.5e0",
+}
+
+
+@query(f"""
+with recursive s as (select q, i, lat, lng, {', '.join(f'{x.replace("s_suppkey", "k")} as {c}' for c, x in _WINDOW.items())} from {_sql_requests(SUPPLIERS, 's_suppkey', 's_nationkey', TSP_STOPS)}),
+n as (select q, count(*) as n from s group by q),
+leg as (select a.q, a.i, b.i as j, {sql_km('a.lat', 'a.lng', 'b.lat', 'b.lng')} as km from s a join s b on a.q = b.q),
+walk(q, pos, seen, n, km, clock, late, lates) as (
+  select q, 0, 1, 1, 0.0e0, coalesce(ready_time_min, 0.0e0) + service_time_min, 0.0e0, 0 from s where i = 0
+  union all
+  select q, j, seen | (1 << j), n + 1, km, greatest(arrived, coalesce(ready_time_min, 0.0e0)) + service_time_min, late + greatest(0.0e0, arrived - coalesce(due_time_min, arrived)),
+    lates + case when arrived > due_time_min then 1 else 0 end from (
+    select w.q, leg.j, w.seen, w.n, w.km + leg.km as km, w.clock + leg.km/40.0e0*60 as arrived, w.late, w.lates, x.ready_time_min, x.due_time_min, x.service_time_min
+    from walk w join leg on leg.q = w.q and leg.i = w.pos and (w.seen & (1 << leg.j)) = 0 join s x on x.q = w.q and x.i = leg.j)),
+back as (select w.q, w.n, w.km + leg.km as km, w.late + greatest(0.0e0, w.clock + leg.km/40.0e0*60 - coalesce(d.due_time_min, w.clock + leg.km/40.0e0*60)) as late,
+  w.lates + case when w.clock + leg.km/40.0e0*60 > d.due_time_min then 1 else 0 end as lates
+  from walk w join n on n.q = w.q and n.n = w.n join leg on leg.q = w.q and leg.i = w.pos and leg.j = 0 join s d on d.q = w.q and d.i = 0 where w.n > 1),
+least as (select *, min(late) over (partition by q) as least_late from back),
+best as (select q, arg_min(km, km) as km, arg_min(late, km) as late, arg_min(lates, km) as lates from least where late <= least_late + 1e-9 group by q)
+select n.q as request_id, cast(n.n as integer) as n_points, {sql_round('km', 3)} as km, cast(lates as integer) as n_violations, {sql_round('late', 0)} as late_min
+from n left join best on best.q = n.q
+""")
+def vrp_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least late, then shortest, closed route of one vehicle over a few suppliers with time windows."""
+    w = _requests(suppliers(spark, sf_dir).withColumns({c: F.expr(x) for c, x in _WINDOW.items()}), "s_suppkey", "s_nationkey", TSP_STOPS)
+    counts = w.groupBy("request_id").agg(F.count("*").cast("int").alias("n_points"))
+    routes = routing.optimize_routes(w, _options(w, 1, None)).where("error is null")
+    late = F.aggregate("violations", F.lit(0.0), lambda total, x: total + x["late_min"])
+    found = routes.select("request_id", F.col("distance_km").alias("km"), F.size("violations").alias("n_violations"), round_half_up(late, 0).alias("late_min"))
+    return counts.join(found, "request_id", "left")
+
+
 _VISITS = """select s_nationkey, cast(row_number() over (partition by s_nationkey order by s_suppkey) - 1 as integer) as seq,
   ((s_suppkey*7) % 50)*1.5e0 as leg_min, case when s_suppkey % 3 = 0 then ((s_suppkey*11) % 400)*1.0e0 end as ready_min,
   case when s_suppkey % 2 = 0 then ((s_suppkey*13) % 300)*1.0e0 end as due_min, (s_suppkey % 5)*2.5e0 as service_min from supplier"""
@@ -509,37 +732,38 @@ def path_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- lines and GeoJSON ---------------------------------------------------------------------------------------------
 
 TOLERANCE_KM = 2000.5
-#: In the SQL of ``simplify_line``, a user's events, in order of time, make lines of at most so many points.
-LINE_POINTS = 50
 
 
-@query(f"""
-with recursive e as (select user_id, event_id, cast(row_number() over (partition by user_id order by ts, event_id) - 1 as integer) as r, lat, lng
+def _sql_kept() -> str:
+    """CTEs that end in ``kept (user_id, i)``: the numbers of the events that simplification keeps of each user's line.
+
+    A stretch is split at its farthest event as long as that lies beyond the tolerance.
+    """
+    return f"""p as (select user_id, event_id, cast(row_number() over (partition by user_id order by ts, event_id) - 1 as integer) as i, lat, lng
   from {_points_sql('events', 'event_id', 'user_id', 'ts')}),
-p as (select user_id*100000 + r // {LINE_POINTS} as line, user_id, event_id, r % {LINE_POINTS} as i, lat, lng from e),
-n as (select line, max(i) as last from p group by line),
-d as (select a.line, a.i, b.i as j, {sql_km('a.lat', 'a.lng', 'b.lat', 'b.lng')} as km from p a join p b on a.line = b.line),
-h as (select s.line, s.i as a, s.j as b, x.j as m, s.km as base, x.km as l, y.km as r, (s.km + x.km + y.km)/2 as h
-  from d s join d x on x.line = s.line and x.i = s.i and x.j > s.i and x.j < s.j join d y on y.line = s.line and y.i = s.j and y.j = x.j where s.i < s.j),
-f as (select line, a, b, m, case when base = 0 then l else 2*sqrt(greatest(0.0e0, h*(h - base)*(h - l)*(h - r)))/base end as far from h),
-split as (select line, a, b, m from (select *, row_number() over (partition by line, a, b order by far desc, m) as n from f) where n = 1 and far > {TOLERANCE_KM}e0),
-r(line, a, b) as (
-  select line, 0, last from n
-  union all select r.line, case when side = 0 then r.a else m end, case when side = 0 then m else r.b end
-  from r join split s on s.line = r.line and s.a = r.a and s.b = r.b cross join (values (0), (1)) as t(side)),
-kept as (select line, a as i from r union select line, b from r)
-select user_id, event_id from kept join p on p.line = kept.line and p.i = kept.i
-""")
+d as materialized (select a.user_id, a.i, b.i as j, {sql_km('a.lat', 'a.lng', 'b.lat', 'b.lng')} as km from p a join p b on a.user_id = b.user_id),
+r(user_id, a, b) as (
+  select user_id, 0, max(i) from p group by user_id
+  union all
+  select user_id, unnest([a, far.m]), unnest([far.m, b]) from (
+    select user_id, a, b, min({{'km': -km, 'm': m}}) as far from (
+      select r.user_id, r.a, r.b, x.j as m, (s.km + x.km + y.km)/2 as h,
+        case when s.km = 0 then x.km else 2*sqrt(greatest(0.0e0, h*(h - s.km)*(h - x.km)*(h - y.km)))/s.km end as km
+      from r join d s on s.user_id = r.user_id and s.i = r.a and s.j = r.b join d x on x.user_id = r.user_id and x.i = r.a and x.j > r.a and x.j < r.b
+        join d y on y.user_id = r.user_id and y.i = r.b and y.j = x.j)
+    group by user_id, a, b) where -far.km > {TOLERANCE_KM}e0),
+kept as (select user_id, a as i from r union select user_id, b from r)"""
+
+
+@query(f"with recursive {_sql_kept()} select p.user_id, event_id from kept join p on p.user_id = kept.user_id and p.i = kept.i")
 def simplify_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events that the simplification of their line keeps."""
-    import pandas as pd
+    """Events that the simplification of their user's whole line keeps."""
 
     def kept(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("r")
         return pdf.iloc[kept_by_simplification(pdf["lat"].to_numpy(), pdf["lng"].to_numpy(), TOLERANCE_KM)][["user_id", "event_id"]]
 
-    lines = _event_lines(spark, sf_dir).withColumn("line", F.floor(F.col("r") / LINE_POINTS))
-    return lines.groupBy("user_id", "line").applyInPandas(kept, "user_id long, event_id long")
+    return _event_lines(spark, sf_dir).groupBy("user_id").applyInPandas(kept, "user_id long, event_id long")
 
 
 def _event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -562,7 +786,12 @@ def geojson_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("c_custkey", "v.valid", F.size("v.errors").alias("n_errors"))
 
 
-@query()
+@query(f"""
+with recursive {_sql_kept()}
+select p.user_id, cast(0 as bigint) as line, '{{"type":"LineString","coordinates":['
+  || string_agg('[' || cast(lng as varchar) || ',' || cast(lat as varchar) || ']', ',' order by p.i) || ']}}' as geojson, cast(null as varchar) as error
+from kept join p on p.user_id = kept.user_id and p.i = kept.i group by p.user_id
+""")
 def geojson_simplify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events of a user as one line of GeoJSON text (number 0), simplified whole."""
     listed = _event_lines(spark, sf_dir).groupBy("user_id", F.lit(0).cast("long").alias("line")).agg(F.array_sort(F.collect_list(F.struct("r", "lng", "lat"))).alias("p"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints, from ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests, notebooks) gets a local temporary folder.
+    A session in one JVM (tests, notebooks) may go without that setting and gets a temporary folder; on a cluster, where
+    executors would not see such a folder, it is an error.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="waymark-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
