@@ -9,7 +9,8 @@ import pytest
 import zstandard
 
 from tests.conftest import DATA
-from tests.llm.test_simhash import components
+from tests.llm.helpers import clashing, corpus
+from tests.llm.test_shingles import names
 from tests.llm.test_substrings import kept_texts
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -60,9 +61,10 @@ def test_quality(spark, stages):
 
 
 def test_near_duplicates(stages):
+    """Five words and a similarity of 0.8, by all pairs."""
     before, after, _ = stages["near_duplicates"]
     rows = [(r.doc_id, r.text) for r in before.collect()]
-    assert sorted(texts(after)) == sorted({c for _, _, c in components(rows)})
+    assert sorted(texts(after)) == sorted({low for _, low in names(rows)})
     assert all(texts(before)[i] == t for i, t in texts(after).items())
 
 
@@ -124,3 +126,41 @@ def test_run_is_in_order_of_the_mixture(spark, stages, monkeypatch):
     assert sorted((r.doc_id, r.slot, r.place) for r in found.collect()) == sorted(want)
     monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, shuffled if n == "mixture" else f) for n, f in corpus_pipeline.STAGES])
     assert [(r.doc_id, r.slot, r.place) for r in corpus_pipeline.run(spark, DATA).collect()] == want
+
+
+@pytest.mark.parametrize("number", range(5))
+def test_odd_tables(spark, number):
+    """Nulls, empty and long texts, repeated rows, no rows, and clashing columns, in each stage."""
+    name, stage = corpus_pipeline.STAGES[number]
+    rows = corpus(12, 20)
+    rows += [rows[4], rows[4], (None, None), (950, " ".join(f"u{i}" for i in range(60_000)))]
+    docs = clashing(spark, rows)
+    out = stage(spark, docs, DATA)
+    found = out.collect()
+    assert stage(spark, docs.limit(0), DATA).collect() == []
+    if name == "tokens":
+        assert len(found) == len(rows) and all(r.same and r.n_tokens == len(r.ids) for r in found)
+        return
+    assert out.columns == docs.columns and all(r.id == 7 and r.row == "r" and r._row == "x" for r in found)
+    ids = [r.doc_id for r in found]
+    if name in ("substrings", "mixture"):
+        assert sorted(map(repr, ids)) == sorted(repr(i) for i, _ in rows)
+    if name == "near_duplicates":
+        assert {i for i in ids if i is not None} == {low for _, low in names(rows) if low is not None}
+        assert ids.count(None) == sum(i is None for i, _ in rows)
+    if name == "quality":
+        kept = {(r.doc_id, r.text) for r in found}
+        assert len(found) == sum((i, t) in kept for i, t in rows)
+
+
+def test_run_leaves_the_last_input_alone(spark):
+    """Of the folders between stages, only the one that the result reads is left."""
+    from pathlib import Path
+
+    from waymark.session import checkpoint_dir
+
+    top = Path(checkpoint_dir(spark).removeprefix("file:"))
+    before = set(top.glob("pipeline-*"))
+    corpus_pipeline.run(spark, DATA)
+    (new,) = set(top.glob("pipeline-*")) - before
+    assert [x.name for x in new.iterdir()] == ["mixture"]
