@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import math
 import random
 import zlib
 
 import numpy as np
 import pytest
+import zstandard
 
 from tests.llm.helpers import clashing, corpus, frame, words
 from waymark.llm import labelled, quality
@@ -50,7 +52,38 @@ def test_sizes_cover_the_whole_text():
     noise = rng.bytes(3 * quality.BLOCK + 5)
     g, b = quality.sizes(noise, good, bad)
     assert g >= len(noise) and b >= len(noise) and quality.sizes(b"", good, bad) == (0, 0)
-    assert len(quality._spread(noise, 2)) == 2 and quality._spread(noise, 9) == quality._blocks(noise)
+    assert b"".join(quality._blocks(noise)) == noise and len(quality._blocks(noise)) == 4
+
+
+def test_against_plain_version(tables):
+    """Dictionaries, sizes, features and calibration written out again, on whole texts."""
+    docs, labels, df, table = tables
+    truth, text = dict(labels), {i: (t or "").encode() for i, t in docs if i is not None}
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i in truth}
+    cut = lambda t: [t[i : i + 2048] for i in range(0, len(t), 2048)]
+    dictionary = [zstandard.train_dictionary(65_536, sorted(b for i in truth if truth[i] == k and fold[i] in (1, 2, 3) for b in cut(text[i])), k=200, d=8).as_bytes() for k in (0, 1)]
+
+    def row(t):
+        bad, good = (
+            sum(len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False).compress(b)) for b in cut(t))
+            for d in dictionary
+        )
+        diff, share = ((bad - good) / (bad + good), min((bad + good) / 2 / len(t), 1.5)) if t else (0.0, 1.0)
+        low, size = max(0.45 - share, 0.0), math.log2(1 + len(t)) / 16
+        return [diff, math.tanh(20 * diff), share, low, low * low, diff * share, size, math.tanh(20 * diff) * size]
+
+    known = [i for i in truth if fold[i] == 4]
+    x, y = np.array([row(text[i]) for i in known]), np.array([truth[i] for i in known], float)
+    mean, scale = x.mean(axis=0), np.where(x.std(axis=0) > 1e-12, x.std(axis=0), 1.0)
+    z = np.column_stack(((x - mean) / scale, np.ones(len(x))))
+    w, ridge = np.zeros(9), np.array([1.0] * 8 + [0.0])
+    for _ in range(20_000):  # plain gradient descent
+        w -= 0.02 * (z.T @ (1 / (1 + np.exp(-z @ w)) - y) + ridge * w) / len(z) ** 0.5
+    want = {}
+    for i, t in docs:
+        v = np.append((np.array(row((t or "").encode())) - mean) / scale, 1.0)
+        want.setdefault(i, []).append(1 / (1 + math.exp(-v @ w)))
+    assert all(any(abs(r.score - p) < 1e-4 for p in want[r.doc_id]) for r in quality.quality(df, table).collect())
 
 
 def test_odd_tables(spark):
