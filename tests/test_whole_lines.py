@@ -38,7 +38,16 @@ def test_geojson_simplify_takes_whole_lines(spark):
     lines: dict = {}
     for e in sorted(events, key=lambda e: (e.user_id, e.r)):
         lines.setdefault(e.user_id, []).append([e.lng, e.lat])
-    assert max(map(len, lines.values())) > catalog.LINE_POINTS
+    assert max(map(len, lines.values())) > 50
     found = catalog.QUERIES["geojson_simplify"](spark, DATA).collect()
     assert len(found) == len(lines)
     assert {r.user_id: json.loads(r.geojson)["coordinates"] for r in found if r.error is None} == {u: kept(p) for u, p in lines.items() if len(p) > 1}
+
+
+def test_simplify_line_takes_whole_lines(spark):
+    events = catalog._event_lines(spark, DATA).select("user_id", "event_id", "r", "lng", "lat").collect()
+    lines: dict = {}
+    for e in sorted(events, key=lambda e: (e.user_id, e.r)):
+        lines.setdefault(e.user_id, []).append((e.lng, e.lat, e.event_id))
+    found = {(r.user_id, r.event_id) for r in catalog.QUERIES["simplify_line"](spark, DATA).collect()}
+    assert found == {(u, p[2]) for u, line in lines.items() for p in kept(line)}

@@ -41,24 +41,25 @@ def bounding_box(points: DataFrame, key: str) -> DataFrame:
     Gaps of longitudes are sought within strips first and then between the ends of the strips, so that no task sorts all
     points of a large group; the latitudes travel along.
     """
-    lngs = points.select(key, "lat", normalize_lng("lng").alias("x")).withColumn("strip", F.floor((F.col("x") + 180.0) / 360.0 * STRIPS))
-    lngs = lngs.groupBy(key, "strip", "x").agg(F.min("lat").alias("south"), F.max("lat").alias("north"))
+    k = "_key"  # the caller's name can be one that is used here
+    lngs = points.select(F.col(key).alias(k), "lat", normalize_lng("lng").alias("x")).withColumn("strip", F.floor((F.col("x") + 180.0) / 360.0 * STRIPS))
+    lngs = lngs.groupBy(k, "strip", "x").agg(F.min("lat").alias("south"), F.max("lat").alias("north"))
     gap = lambda low, high: F.struct((high - low).alias("gap"), high.alias("to"), low.alias("before"))
     rank = lambda g: F.when(F.col(f"{g}.gap").isNotNull(), F.struct(F.col(f"{g}.gap"), -F.col(f"{g}.to")))
-    inner = Window.partitionBy(key, "strip").orderBy("x")
-    strips = lngs.withColumn("g", gap(F.lag("x").over(inner), F.col("x"))).groupBy(key, "strip").agg(
+    inner = Window.partitionBy(k, "strip").orderBy("x")
+    strips = lngs.withColumn("g", gap(F.lag("x").over(inner), F.col("x"))).groupBy(k, "strip").agg(
         F.min("x").alias("low"), F.max("x").alias("high"), F.max_by("g", rank("g")).alias("widest"), F.min("south").alias("south"), F.max("north").alias("north")
     )
-    outer = Window.partitionBy(key).orderBy("strip")
+    outer = Window.partitionBy(k).orderBy("strip")
     both = strips.withColumn("g", gap(F.lag("high").over(outer), F.col("low"))).withColumn(
         "g", F.when(F.coalesce(rank("widest") > rank("g"), rank("g").isNull()), F.col("widest")).otherwise(F.col("g"))
     )
-    best = both.groupBy(key).agg(
+    best = both.groupBy(k).agg(
         F.min("low").alias("first"), F.max("high").alias("last"), F.max_by("g", rank("g")).alias("g"), F.min("south").alias("min_lat"), F.max("north").alias("max_lat")
     )
     crosses = F.coalesce(F.col("g.gap") > F.col("first") + 360.0 - F.col("last"), F.lit(False))
     return best.select(
-        key, "min_lat", F.when(crosses, F.col("g.to")).otherwise(F.col("first")).alias("min_lng"),
+        F.col(k).alias(key), "min_lat", F.when(crosses, F.col("g.to")).otherwise(F.col("first")).alias("min_lng"),
         "max_lat", F.when(crosses, F.col("g.before")).otherwise(F.col("last")).alias("max_lng"), crosses.alias("crosses"),
     )
 
@@ -91,30 +92,32 @@ def convex_hull(points: DataFrame, key: str) -> DataFrame:
     ``HULL_POINTS`` points is hulled in parts of about that size, and so are the corners of the parts, until few are left
     (or all are corners): a large group is no single task's work.
     """
-    arcs = lng_window(points, key).select(key, "west", "crosses")
+    k = "_key"
+    points = points.select(F.col(key).alias(k), "lat", "lng")
+    arcs = lng_window(points, k).select(k, "west", "crosses")
     x = normalize_lng("lng")
-    rows = points.select(key, "lat", x.alias("lng")).distinct().join(arcs, key)
+    rows = points.select(k, "lat", x.alias("lng")).distinct().join(arcs, k)
     rows = rows.withColumn("x", F.when(F.col("crosses") & (F.col("lng") < F.col("west")), F.col("lng") + 360.0).otherwise(F.col("lng")))
-    rows = cut_lineage(rows.select(key, "lat", "lng", "x"))
-    kind = rows.schema[key].dataType.simpleString()
+    rows = cut_lineage(rows.select(k, "lat", "lng", "x"))
+    kind = rows.schema[k].dataType.simpleString()
 
     def corners(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf.iloc[hull_indices(pdf["x"].to_numpy(), pdf["lat"].to_numpy())]
 
     def final(pdf: pd.DataFrame) -> pd.DataFrame:
         out = corners(pdf)
-        return pd.DataFrame({key: out[key], "seq": np.arange(len(out), dtype=np.int32), "lat": out["lat"], "lng": out["lng"]})
+        return pd.DataFrame({key: out[k], "seq": np.arange(len(out), dtype=np.int32), "lat": out["lat"], "lng": out["lng"]})
 
     before = None
     while True:
-        sizes = rows.groupBy(key).agg(F.count("*").alias("_n"))
+        sizes = rows.groupBy(k).agg(F.count("*").alias("_n"))
         total = sizes.agg(F.max("_n").alias("most"), F.sum("_n").alias("all")).first()
         if (total["most"] or 0) <= HULL_POINTS or total["all"] == before:
-            return rows.groupBy(key).applyInPandas(final, f"{key} {kind}, seq int, lat double, lng double")
+            return rows.groupBy(k).applyInPandas(final, f"{key} {kind}, seq int, lat double, lng double")
         before = total["all"]
         part = F.pmod(F.xxhash64("lat", "lng"), F.ceil(F.col("_n") / HULL_POINTS)).alias("_part")
-        dealt = rows.join(sizes, key).select(*rows.columns, part)
-        rows = cut_lineage(dealt.groupBy(key, "_part").applyInPandas(corners, dealt.schema).drop("_part"))
+        dealt = rows.join(sizes, k).select(*rows.columns, part)
+        rows = cut_lineage(dealt.groupBy(k, "_part").applyInPandas(corners, dealt.schema).drop("_part"))
 
 
 def point_in_polygon(lat: Column, lng: Column, polygon: Column) -> Column:
