@@ -48,6 +48,12 @@ def test_more_rows_than_a_range(spark):
     assert got == brute(rows)
 
 
+def test_one_id_on_most_rows(spark):
+    rows = [(5, f"copy {i % 700} of a text") for i in range(2000)] + [(i, f"own text {i}") for i in range(40)]
+    got = sorted((tuple(r) for r in f.compare_with_next(frame(spark, rows).repartition(6)).collect()), key=repr)
+    assert got == brute(rows)
+
+
 def test_odd_tables(spark):
     for rows in ([], [(1, None)], [(1, "abc")], [(None, "a"), (None, "b"), (None, None)], [(1, "same")] * 4):
         assert sorted((tuple(r) for r in f.compare_with_next(frame(spark, rows)).collect()), key=repr) == brute(rows)

@@ -146,7 +146,12 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text", into: st
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label_col: str = "quality") -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` for every document; the labels are learnt outside the held-out fold."""
+    """``(doc_id, held_out, score, predicted)`` for every document; the labels are learnt outside the held-out fold.
+
+    Null and empty texts get the score of an empty text. A null id counts as held out. Labels that are null, not 0 or 1, or
+    contradict each other are left out. Repeated rows keep a row each; an empty table gives an empty table; other columns
+    are not read.
+    """
     model = fit(docs, labels, label_col)
     return score(docs.select("doc_id", "text"), model).select(
         "doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")

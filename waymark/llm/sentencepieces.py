@@ -544,7 +544,9 @@ def model_bytes(path: str) -> bytes:
 def round_trip(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``(id, n_tokens, ids, same)`` of every document: its ids, and whether decoding them gives the text back.
 
-    ``keep``: columns to carry along, behind the id.
+    ``keep``: columns to carry along, behind the id. Null and empty texts have no tokens and count as the same; repeated
+    rows keep a row each, null ids stay, texts of any length are whole, and an empty table gives an empty table. A text
+    that holds the space mark itself comes back with spaces: ``same`` is false.
     """
     rows = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col), *keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -221,7 +221,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row of ``docs`` for each group of near-duplicates: that of the smallest id, of rows that repeat it the one of
-    the least hash of its text. Rows without an id stay. The texts are shuffled once, to meet the rows to keep."""
+    the least hash of its text. Rows without an id stay. Null, empty and blank texts have fingerprint zero and group like
+    any other. An empty table gives an empty table. The texts are shuffled once, to meet the rows to keep."""
     return keep_lowest(docs, groups(docs, id_col, text_col, radius), id_col, text_col)
 
 
