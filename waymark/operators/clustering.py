@@ -191,8 +191,7 @@ def large_kmeans(points: DataFrame, key: str, k: int, seed: int = DEFAULT_SEED,
     if k < 1:
         raise DomainError("INVALID_K", "k must be at least 1")
     every = points.select(key, "lat", "lng")
-    ranges = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = every.where("lat is not null and lng is not null").repartitionByRange(ranges, key).sortWithinPartitions(key)
+    placed = every.where("lat is not null and lng is not null").repartitionByRange(key).sortWithinPartitions(key)
     rows = cut_lineage(placed.select(F.spark_partition_id().alias("part"), "lat", "lng"))
     centers = _drawn_centers(rows, k, Mulberry32(seed))
     if not len(centers):
@@ -223,13 +222,15 @@ def _means(rows: DataFrame, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray
         yield pd.DataFrame({"c": np.arange(k)} | {name: total[:, i] for i, name in enumerate(names)})
 
     names = ["n", "x", "y", "z", "lat", "lng"]
-    found = rows.mapInPandas(summed, "c int, " + ", ".join(f"{x} double" for x in names)).groupBy("c").agg(*(F.sum(x).alias(x) for x in names))
-    out, count = centers.copy(), np.zeros(k)
-    for c, n, *sums in found.collect():
-        count[c] = n
+    # k rows a task
+    found = rows.mapInPandas(summed, "c int, " + ", ".join(f"{x} double" for x in names)).toPandas()
+    total = np.zeros((k, len(names)))
+    np.add.at(total, found["c"].to_numpy(int), found[names].to_numpy(np.float64))
+    out = centers.copy()
+    for c, (n, x, y, z, lat, lng) in enumerate(total):
         if n:
-            out[c] = mean_of_sums(*sums[:3], sums[3] / n, sums[4] / n)
-    return out, count
+            out[c] = mean_of_sums(x, y, z, lat / n, lng / n)
+    return out, total[:, 0]
 
 
 def _drawn_centers(rows: DataFrame, k: int, random: Mulberry32) -> np.ndarray:
@@ -244,12 +245,15 @@ def _drawn_centers(rows: DataFrame, k: int, random: Mulberry32) -> np.ndarray:
         return _to_centers(lat, lng, chosen).min(axis=1) ** 2 if len(chosen) else np.ones(len(pdf))
 
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, part = 0.0, None
         for pdf in batches:
             if len(pdf):
-                yield pd.DataFrame({"part": pdf["part"].iloc[:1], "w": [weights(pdf).sum()]})
+                total, part = total + float(weights(pdf).sum()), int(pdf["part"].iloc[0])
+        if part is not None:
+            yield pd.DataFrame({"part": [part], "w": [total]})
 
     while len(chosen) < k:
-        found = rows.mapInPandas(summed, "part int, w double").groupBy("part").agg(F.sum("w").alias("w")).collect()
+        found = rows.mapInPandas(summed, "part int, w double").collect()  # a row a task
         sums = sorted((r["part"], r["w"]) for r in found if r["w"] > 0)
         if not sums:
             break
