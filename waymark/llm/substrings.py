@@ -40,7 +40,7 @@ WINDOW = 50
 GRAM = 12
 #: Bits of each map at most (64 MB), and bits for each hash that it holds.
 MAP_BITS = 29
-BITS_EACH = 16
+BITS_EACH = 64
 #: Words of distinct passages that a shard should hold.
 SHARD_WORDS = 60_000
 #: Bits for the place of a gram, and windows whose anchors are found at once.
@@ -64,7 +64,8 @@ class Windows:
         grams, windows = window_hashes(words.hashes(), gram, window)
         self.doc = words.doc[self.start]
         self.hash = windows[self.start]
-        self.anchor = _anchors(grams, window - gram + 1)[self.start]
+        # mixed again, as the least of many hashes have small leading bits, which name the bits of a map
+        self.anchor = mix(_anchors(grams, window - gram + 1)[self.start])
 
 
 def _anchors(grams: np.ndarray, width: int) -> np.ndarray:
