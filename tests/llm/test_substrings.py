@@ -74,6 +74,20 @@ def test_shards_may_be_small(spark, monkeypatch):
     assert got(frame(spark, rows)) == brute(rows)
 
 
+@pytest.mark.parametrize("most", [0, 300])
+def test_crowded_anchors(spark, monkeypatch, most):
+    """Anchors whose windows are compared one by one."""
+    monkeypatch.setattr(s, "CROWDED_WORDS", most)
+    rng = random.Random(5)
+    base = words(rng, 200)
+    rows = corpus(9, 25)
+    for i in range(60):
+        copy = list(base)
+        copy[rng.randrange(200)] = f"e{i % 20}"
+        rows.append((2000 - i, " ".join(copy)))
+    assert got(frame(spark, rows)) == brute(rows)
+
+
 def test_automaton():
     rng = random.Random(3)
     sequences = [[rng.choice("abc") for _ in range(rng.randint(0, 40))] for _ in range(6)]

@@ -13,6 +13,8 @@ content, and only text that can match is brought to them:
 4. A shard takes its passages by ascending id. Each is streamed past the suffix automaton of those with smaller ids;
    a matching length of a window or more marks that window; then the passage joins the automaton. Words themselves are
    compared here, not hashes.
+   An anchor with very many words of distinct passages would be too much for one shard. Its windows are passages of
+   their own instead: of equal ones, by the same digests, all but those of the least id are marked, by an aggregation.
 5. The marks go back to the documents, whose texts are shuffled this once.
 
 The maps only keep work away: bits that are set by chance (or by a corpus too large for ``MAP_BITS``) cost time and
@@ -29,6 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -43,6 +46,8 @@ MAP_BITS = 29
 BITS_EACH = 64
 #: Words of distinct passages that a shard should hold.
 SHARD_WORDS = 60_000
+#: Words of distinct passages from which on an anchor's windows are compared one by one.
+CROWDED_WORDS = 500_000
 #: Bits for the place of a gram, and windows whose anchors are found at once.
 PLACE_BITS = 24
 SPAN = 1 << 20
@@ -135,16 +140,18 @@ def _distinct(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return by[fresh]
 
 
-def _passages(words: Words, w: Windows, anchors: np.ndarray, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last window of the runs of candidate windows that share an anchor."""
+def _passages(words: Words, w: Windows, anchors: np.ndarray, repeated: np.ndarray, crowded: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last window of the runs of candidate windows that share an anchor, and whether that is crowded: each of
+    its windows is a run then."""
     ok = np.flatnonzero(_in_map(anchors, w.anchor))
     ok = ok[_in_map(repeated, w.hash[ok])]
     if not len(ok):
-        return ok, ok
+        return ok, ok, np.zeros(0, bool)
+    alone = np.zeros(len(ok), bool) if crowded is None else _in_map(crowded, w.anchor[ok])
     new = np.ones(len(ok), bool)
     new[1:] = (w.start[ok[1:]] != w.start[ok[:-1]] + 1) | (w.doc[ok[1:]] != w.doc[ok[:-1]]) | (w.anchor[ok[1:]] != w.anchor[ok[:-1]])
-    at = np.flatnonzero(new)
-    return ok[at], ok[np.append(at[1:], len(ok)) - 1]
+    at = np.flatnonzero(new | alone)
+    return ok[at], ok[np.append(at[1:], len(ok)) - 1], alone[at]
 
 
 class SuffixAutomaton:
@@ -256,21 +263,35 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     windows = context.broadcast(_map_of(_repeated(_over_windows(rows, of_windows, "h long"))))
 
-    def of_places(words: Words, w: Windows, ids: np.ndarray, marks: np.ndarray) -> list:
-        first, last = _passages(words, w, anchors.value, windows.value)
-        doc, start = w.doc[first], w.start[first]
-        anchor, (content, check) = w.anchor[first], _digests(_texts(words, w, first, last))
-        return [x.view(np.int64) for x in (anchor, content, check, _owned(anchor, content, ids[doc]))] + [
-            ids[doc], marks[doc], (start - words.first[doc]).astype(np.int32), (w.start[last] - start + 1).astype(np.int32)
-        ]
-
-    places = cut_lineage(_over_windows(rows, of_places, "anchor long, content long, check long, own long, id long, mark long, first int, windows int"))
-    distinct = cut_lineage(places.groupBy(*PASSAGE).agg(F.min_by("own", "id").alias("h"), F.max("windows").alias("windows")))
-    total = distinct.agg(F.sum(F.col("windows") + F.lit(WINDOW - 1))).first()[0] or 0
+    def placed(crowded: Broadcast | None) -> DataFrame:
+        def of_places(words: Words, w: Windows, ids: np.ndarray, marks: np.ndarray) -> list:
+            first, last, alone = _passages(words, w, anchors.value, windows.value, crowded and crowded.value)
+            doc, start = w.doc[first], w.start[first]
+            anchor, (content, check) = w.anchor[first], _digests(_texts(words, w, first, last))
+            return [x.view(np.int64) for x in (anchor, content, check, _owned(anchor, content, ids[doc]))] + [
+                ids[doc], marks[doc], (start - words.first[doc]).astype(np.int32), (w.start[last] - start + 1).astype(np.int32), pa.array(alone)
+            ]
+
+        schema = "anchor long, content long, check long, own long, id long, mark long, first int, windows int, alone boolean"
+        return cut_lineage(_over_windows(rows, of_places, schema))
+
+    def different(places: DataFrame) -> DataFrame:
+        return cut_lineage(places.where("not alone").groupBy(*PASSAGE).agg(F.min_by("own", "id").alias("h"), F.max("windows").alias("windows")))
+
+    crowded, size = None, F.sum(F.col("windows") + F.lit(WINDOW - 1)).alias("words")
+    places = placed(None)
+    distinct = different(places)
+    many = cut_lineage(distinct.groupBy(F.col("anchor").alias("h")).agg(size).where(F.col("words") > CROWDED_WORDS).select("h"))
+    if not many.isEmpty():
+        crowded = context.broadcast(_map_of(many))
+        places = placed(crowded)
+        distinct = different(places)
+    total = distinct.agg(size).first()[0] or 0
     owners = context.broadcast(_map_of(distinct))
 
     def of_texts(words: Words, w: Windows, ids: np.ndarray, marks: np.ndarray) -> list:
-        first, last = _passages(words, w, anchors.value, windows.value)
+        first, last, alone = _passages(words, w, anchors.value, windows.value, crowded and crowded.value)
+        first, last = first[~alone], last[~alone]
         texts = _texts(words, w, first, last)
         anchor, id_, (content, check) = w.anchor[first], ids[w.doc[first]], _digests(texts)
         ok = np.flatnonzero(_in_map(owners.value, _owned(anchor, content, id_)))
@@ -278,7 +299,10 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         return [*(x[ok].view(np.int64) for x in (anchor, content, check)), id_[ok], passage]
 
     marked = cut_lineage(_marked(_over_windows(rows, of_texts, "anchor long, content long, check long, id long, passage string"), int(total)))
-    for shared in (anchors, windows, owners):
+    if crowded is not None:
+        alone = places.where("alone").groupBy(*PASSAGE).agg(F.min("id").alias("low")).withColumn("runs", F.array().cast("array<int>"))
+        marked = marked.unionByName(alone)
+    for shared in filter(None, (anchors, windows, owners, crowded)):
         shared.destroy()
     return (
         places.join(marked, PASSAGE)
