@@ -113,7 +113,8 @@ def distinct_points(lat: Column | str, lng: Column | str) -> Column:
 
 def np_normalize_lng(lng: np.ndarray) -> np.ndarray:
     x = np.asarray(lng, np.float64)
-    wrapped = np.mod(x + 180.0, 360.0) - 180.0
+    # the steps of ``normalize_lng``, so that both round alike
+    wrapped = np.fmod(np.fmod(x + 180.0, 360.0) + 360.0, 360.0) - 180.0
     wrapped = np.where((wrapped == -180.0) & (x > 0), 180.0, wrapped)
     return np.where((x >= -180.0) & (x <= 180.0), x, wrapped)
 
