@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import duckdb
+import numpy as np
 import pytest
 
 from tests.test_catalog import rows
+from waymark.functions.geo import np_distance_matrix
+from waymark.operators import routing
 from waymark.plans import catalog
 
 
@@ -26,3 +29,23 @@ IN_LINE = [(60, 785, 2235), (1, 1057, 1321), (39, 557, 1075)]
 def test_stops_in_line_with_the_depot(spark, tmp_path, name):
     keys = ", ".join(f"({k}, {nation})" for nation, line in enumerate(IN_LINE) for k in line)
     against_sql(spark, tmp_path, name, "supplier", f"select k::bigint as s_suppkey, n::bigint as s_nationkey from (values {keys}) t(k, n)")
+
+
+#: Keys of customers that one vehicle serves, the depot first, and their places in the request.
+LATE = [76270, 77278, 77190, 76477, 77215, 76863, 76282, 76359, 77052, 76284, 77055, 76924, 76966, 76571]
+PLACES = [0, 39, 36, 8, 38, 22, 1, 5, 31, 2, 32, 25, 28, 9]
+
+
+def test_route_is_not_above_the_greedy_tour():
+    """Stops at which the shortest tour found is late, and the repaired one as late as the greedy tour but longer."""
+    keys = np.array(LATE)
+    lat, lng = (keys * 7919 % 17001) / 100.0 - 85.0, (keys * 104729 % 36001) / 100.0 - 180.0
+    none, place = np.full(len(keys), np.nan), np.array(PLACES)
+    stops = routing.Stops(lat, lng, 1.0 + keys % 4, none, np.where(place % 9 == 4, 60000.0, np.nan), np.full(len(keys), 10.0))
+    km = np_distance_matrix(lat, lng)
+    costs = routing.Costs(km, km / 40.0 * 60.0, True)
+    found = routing.solve_route(list(range(len(keys))), stops, costs)
+    greedy = routing.schedule(routing._greedy(len(keys), 0, km).tolist(), stops, costs)
+    late = lambda route: sum(v["late_min"] for v in route["violations"])
+    assert late(found) < late(greedy) - 1e-9 or (late(found) <= late(greedy) + 1e-9 and found["distance_km"] <= greedy["distance_km"] + 1e-9)
+    assert sorted(v["index"] for v in found["stops"]) == list(range(len(keys)))
