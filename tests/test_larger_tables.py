@@ -64,3 +64,17 @@ def test_dbscan_does_not_list_the_pairs_of_a_crowd(spark, monkeypatch):
         found = [r.label for r in clustering.large_dbscan(df, "k", eps, 4).orderBy("k").collect()]
         assert found == [*clustering.dbscan_labels(lat, lng, eps, 4).tolist(), -1]
     assert max(listed) < 2000
+
+
+def test_request_matrices_of_a_large_nation(spark, tmp_path, monkeypatch):
+    """No request holds the whole matrix of a nation of 700 suppliers."""
+    sides = []
+    plain = catalog.proximity.request_matrices
+
+    def seen(requests, **options):
+        sides.append(requests.selectExpr("max(size(origins) * size(destinations)) as n").first()["n"])
+        return plain(requests, **options)
+
+    monkeypatch.setattr(catalog.proximity, "request_matrices", seen)
+    against_sql(spark, tmp_path, "request_matrices", "supplier", "select i::bigint as s_suppkey, (i // 700)::bigint as s_nationkey from range(703) r(i)")
+    assert sides[0] < 2 * catalog.MATRIX_SIDE**2

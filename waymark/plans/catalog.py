@@ -151,25 +151,36 @@ def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("c_custkey", "s_suppkey", round_km("km").alias("km"))
 
 
+#: Suppliers on each side of a matrix, about: nations of more are several requests.
+MATRIX_SIDE = 200
+
+
 @query(f"""
 select a.s_nationkey as s_nationkey, a.s_suppkey as from_key, b.s_suppkey as to_key, {sql_round(sql_km('a.lat', 'a.lng', 'b.lat', 'b.lng'), 3)} as km,
   {sql_round(sql_km('a.lat', 'a.lng', 'b.lat', 'b.lng') + '/50.0e0*60', 2)} as duration_min
 from {SUPPLIERS} a join {SUPPLIERS} b on a.s_nationkey = b.s_nationkey
 """)
 def request_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested matrices of the suppliers of each nation, unnested again."""
+    """Nested matrices of the suppliers of each nation, unnested again.
+
+    A nation of many suppliers makes several requests, one for each two blocks of about ``MATRIX_SIDE`` of them.
+    """
     s = suppliers(spark, sf_dir)
-    listed = s.groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "lat", "lng"))).alias("p"))
-    requests = listed.select(
-        F.col("s_nationkey").alias("request_id"), F.col("p").alias("origins"), F.lit(None).cast("array<struct<s_suppkey:bigint,lat:double,lng:double>>").alias("destinations"),
-        F.lit(50.0).alias("average_speed_kmh"),
+    blocks = s.groupBy("s_nationkey").agg(F.ceil(F.count("*") / MATRIX_SIDE).cast("int").alias("blocks"))
+    listed = s.join(blocks, "s_nationkey").withColumn("block", F.pmod(F.xxhash64("s_suppkey"), F.col("blocks")).cast("int"))
+    listed = listed.groupBy("s_nationkey", "blocks", "block").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "lat", "lng"))).alias("p"))
+    asked = listed.select("s_nationkey", F.col("p").alias("origins"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    requests = asked.join(listed.select("s_nationkey", "block", F.col("p").alias("destinations")), ["s_nationkey", "block"]).select(
+        F.struct("s_nationkey", F.col("origins.s_suppkey").alias("from"), F.col("destinations.s_suppkey").alias("to")).alias("request_id"),
+        "origins", "destinations", F.lit(50.0).alias("average_speed_kmh"),
     )
-    nested = proximity.request_matrices(requests, max_cells=2**31 - 1).join(listed.withColumnRenamed("s_nationkey", "request_id"), "request_id")
-    rows = nested.select("request_id", "p", F.posexplode(F.arrays_zip("distances_km", "durations_min")).alias("i", "row"))
-    cells = rows.select("request_id", F.expr("p[i].s_suppkey").alias("from_key"), "p", F.posexplode(F.arrays_zip("row.distances_km", "row.durations_min")).alias("j", "c"))
-    return cells.select(
-        F.col("request_id").alias("s_nationkey"), "from_key", F.expr("p[j].s_suppkey").alias("to_key"), F.col("c.distances_km").alias("km"), F.col("c.durations_min").alias("duration_min")
-    )
+    # requests are small and their matrices are not: dealt out by number, which adaptive execution leaves alone
+    requests = requests.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    nested = proximity.request_matrices(requests, max_cells=2**31 - 1)
+    rows = nested.select("request_id", F.explode(F.arrays_zip(F.col("request_id.from").alias("from"), "distances_km", "durations_min")).alias("row"))
+    cells = F.arrays_zip(F.col("request_id.to").alias("to"), F.col("row.distances_km").alias("km"), F.col("row.durations_min").alias("min"))
+    cells = rows.select(F.col("request_id.s_nationkey").alias("s_nationkey"), F.col("row.from").alias("from_key"), F.explode(cells).alias("c"))
+    return cells.select("s_nationkey", "from_key", F.col("c.to").alias("to_key"), F.col("c.km").alias("km"), F.col("c.min").alias("duration_min"))
 
 
 # ---- scalars -------------------------------------------------------------------------------------------------------
