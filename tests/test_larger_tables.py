@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import duckdb
 import numpy as np
 import pytest
 
+from tests.conftest import DATA
 from tests.test_catalog import rows
 from waymark.functions.geo import np_distance_matrix
 from waymark.operators import clustering, routing
@@ -78,3 +81,29 @@ def test_request_matrices_of_a_large_nation(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(catalog.proximity, "request_matrices", seen)
     against_sql(spark, tmp_path, "request_matrices", "supplier", "select i::bigint as s_suppkey, (i // 700)::bigint as s_nationkey from range(703) r(i)")
     assert sides[0] < 2 * catalog.MATRIX_SIDE**2
+
+
+#: Bytecodes of a method from which on the JVM leaves it to its interpreter.
+HUGE_METHOD = 8000
+
+
+def generated_methods(spark, name: str, folder: str) -> list[tuple[str, int]]:
+    """Each generated stage of ``name``, and the size of its largest method."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = catalog.QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan()
+        debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+        parts = re.split(r"== Subtree \d+ / \d+ \(maxMethodCodeSize:", debug.codegenString(plan))[1:]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    return [(x.split("Generated code:")[0], int(x.split(";")[0])) for x in parts]
+
+
+def test_pairs_of_range_join_are_compiled(spark):
+    stages = generated_methods(spark, "range_join", DATA)
+    assert any("Join" in tree for tree, _ in stages) and max(size for _, size in stages) <= HUGE_METHOD
+
+
+def test_range_join_of_one_small_file_is_many_tasks(spark):
+    assert catalog.QUERIES["range_join"](spark, DATA).rdd.getNumPartitions() > 1
