@@ -100,10 +100,17 @@ def generated_methods(spark, name: str, folder: str) -> list[tuple[str, int]]:
     return [(x.split("Generated code:")[0], int(x.split(";")[0])) for x in parts]
 
 
-def test_pairs_of_range_join_are_compiled(spark):
-    stages = generated_methods(spark, "range_join", DATA)
+@pytest.mark.parametrize("name", ["range_join", "region_query"])
+def test_pairs_are_compiled(spark, name):
+    stages = generated_methods(spark, name, DATA)
     assert any("Join" in tree for tree, _ in stages) and max(size for _, size in stages) <= HUGE_METHOD
 
 
 def test_range_join_of_one_small_file_is_many_tasks(spark):
     assert catalog.QUERIES["range_join"](spark, DATA).rdd.getNumPartitions() > 1
+
+
+def test_region_query_of_equal_points(spark, tmp_path):
+    """Four hundred places with three customers each, against SQL."""
+    keys = "select (i * 36001 * 17001 + j * 17)::bigint as c_custkey, 0::bigint as c_nationkey from range(3) a(i), range(400) b(j)"
+    against_sql(spark, tmp_path, "region_query", "customer", keys)
