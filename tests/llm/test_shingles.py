@@ -77,3 +77,26 @@ def test_odd_tables(spark):
     assert shingles.representatives(frame(spark, [])).collect() == []
     rows = [(1, "a b c"), (2, None), (3, ""), (None, None), (4, "d")]
     assert sorted((r.doc_id for r in shingles.representatives(frame(spark, rows)).collect()), key=repr) == [1, 2, 4, None]
+
+
+def test_tries_propose_links_and_the_sets_decide(spark, monkeypatch):
+    """Without the bands: near copies whose fingerprints are equal or linked are found by the trie join alone. Texts with
+    equal fingerprints but different sets are not linked."""
+    import numpy as np
+    import pandas as pd
+
+    from waymark.llm import simhash
+
+    rng = random.Random(9)
+    rows = []
+    for i in range(30):
+        own = words(rng, 1200)
+        rows += [(10 * i, " ".join(own)), (10 * i + 1, " ".join([*own[:-1], "other"]))]
+    rows += [(900 + k, "p q r " * 200 + " ".join(f"w{k}x{i}" for i in range(100))) for k in range(2)]
+    fp = simhash.fingerprint_texts([t.encode() for _, t in rows])
+    apart = np.bitwise_count(fp[0:60:2] ^ fp[1:60:2])
+    near = {10 * i for i in np.flatnonzero(apart <= simhash.RADIUS).tolist()}
+    assert len(near) > 20 and 0 in apart and apart.max() > 0 and fp[-1] == fp[-2]
+    monkeypatch.setattr(shingles, "proposed", lambda pdf: pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)}))
+    found = {r.id: r.component_id for r in shingles.groups(frame(spark, rows)).collect()}
+    assert {i: i - (i % 10 == 1 and i - 1 in near) if i < 900 else i for i, _ in rows} == found
