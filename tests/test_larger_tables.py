@@ -6,12 +6,13 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from tests.conftest import DATA
 from tests.test_catalog import rows
-from waymark.functions.geo import np_distance_matrix
-from waymark.operators import clustering, routing
+from waymark.functions.geo import np_distance_matrix, np_haversine_km
+from waymark.operators import clustering, proximity, routing
 from waymark.plans import catalog
 from waymark.session import cut_lineage
 
@@ -114,3 +115,25 @@ def test_region_query_of_equal_points(spark, tmp_path):
     """Four hundred places with three customers each, against SQL."""
     keys = "select (i * 36001 * 17001 + j * 17)::bigint as c_custkey, 0::bigint as c_nationkey from range(3) a(i), range(400) b(j)"
     against_sql(spark, tmp_path, "region_query", "customer", keys)
+
+
+def test_files_of_a_wide_matrix_do_not_repeat_the_keys(spark, tmp_path):
+    """20,000 destinations of one file: every pair is there, and a destination's key takes less than a byte a row."""
+    o = spark.range(40).selectExpr("id as k", "id * 2.0 as lat", "id * 7.0 as lng")
+    d = spark.range(0, 20_000, 1, 1).selectExpr("id as c", "if(id = 7, null, id % 171 - 85.0D) as lat", "id % 361 - 180.0D as lng")
+    # else Spark broadcasts the 40 origins, which a table of many is too large for
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        proximity.distance_matrix(o, d, max_cells=None).write.parquet(f"{tmp_path}/matrix")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    groups = [m.row_group(i) for f in (tmp_path / "matrix").glob("*.parquet") for m in [pq.read_metadata(f)] for i in range(m.num_row_groups)]
+    keys = [g.column(i) for g in groups for i in range(g.num_columns) if g.column(i).path_in_schema == "c"]
+    assert sum(x.total_compressed_size for x in keys) < sum(x.num_values for x in keys) == 800_000
+    found = pq.read_table(tmp_path / "matrix").to_pandas().sort_values(["k", "c"])
+    k, c = np.repeat(np.arange(40), 20_000), np.tile(np.arange(20_000), 40)
+    assert (found.k.to_numpy() == k).all() and (found.c.to_numpy() == c).all()
+    km = np.where(c == 7, np.nan, np_haversine_km(k * 2.0, k * 7.0, c % 171 - 85.0, c % 361 - 180.0))
+    np.testing.assert_allclose(found.km, km, atol=0.00051)
+    np.testing.assert_allclose(found.duration_min, km / 40 * 60, atol=0.0051)
